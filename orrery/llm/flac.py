@@ -236,7 +236,7 @@ def parse_header(data: bytes, at: int, info: Stream) -> tuple[int, int, int] | N
     for x in h[5 : 5 + extra]:
         number = number << 6 | x & 0x3F
     end = 5 + extra
-    n = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    n = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << max(0, size - 8)
     if size in (6, 7):
         n = int.from_bytes(h[end : end + size - 5]) + 1
         end += size - 5
