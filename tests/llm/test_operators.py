@@ -143,7 +143,7 @@ def test_a_large_mixed_bucket_loses_no_link(spark):
     common = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(common + [f"x{r.randrange(6)}-{k}" for k in range(14)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    small = {tuple(x) for x in neardup.near_duplicates(df, split=4, rounds=1).select("doc_id", "component_id").collect()}
+    small = {tuple(x) for x in neardup.near_duplicates(df, split=4).select("doc_id", "component_id").collect()}
     assert small == {tuple(x) for x in neardup.near_duplicates(df).select("doc_id", "component_id").collect()}
 
 
