@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", good), ("near-duplicates", one_of_each_group), ("secret scan", without_secrets), ("mixing", mixed), ("packing", packed)]
 
-#: The stages train a model and pack greedily, which SQL can't express; tests/llm/test_pipeline.py holds each against a brute-force version.
+#: The stages train a model and pack greedily, which SQL can't express; tests/llm/test_operators.py holds each against its operator, and those against brute force.
 ORACLE_SQL = None
 
 
