@@ -6,10 +6,13 @@ into ten longs. A candidate pair whose collision-corrected similarity, from coun
 than 5.5 standard deviations under the threshold) ends there; the others are confirmed on full shingle sets. A pair at
 similarity 0.75 misses all bands with probability 2.5e-7, one at 0.8 with 6e-10.
 
-Texts of the same word sequence form a class and only one of them goes on. In each band's bucket every class is first
-compared with the bucket's least class (a row a class, whatever the bucket's size), and links give components. Only
-buckets that still hold several components are joined with themselves, between components. Of these, a bucket of more
-than `split` classes is first cut by all other bands: similar pairs meet again there, others part.
+Texts of the same word sequence form a class and only one of them goes on. Each band's bucket has a pivot: the class that
+shares the most buckets' places with others, which in a group of copies is the text they were made from. First every class
+is compared with the nearest of its buckets' pivots, by the packed bits, then with its other pivots that are not yet in
+its component: a row a class and bucket, whatever the bucket's size. Buckets that still hold several components are
+then joined within themselves, between components, if they have at most `split` classes. Larger ones are too many pairs, so
+that their classes are matched by an exact prefix filter: with the shingles of each set in order of frequency, two sets of
+enough similarity share one near the start of both. Words that only one copy has come first and are never matched.
 
 Edge cases: a null or empty text, or one without words, has n_shingles 0 and is its own component; repeated rows stay
 repeated, under one component; equal texts link whatever their ids; a null doc_id never names a component that has other
@@ -128,12 +131,15 @@ def hopeful(a: str, b: str, percent: int, slack: float = 0.2) -> Column:
     return (small * 100 >= large * percent) & (differing(a, b) <= most)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of class keys whose full shingle sets have 100 * intersection >= percent * union."""
-    pairs = scratch.table(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
+def fetch(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """One text of each class whose key is in wanted (want)."""
     texts = docs.select("text").mapInArrow(keyed, "key binary, text string")
-    texts = scratch.table(texts.join(wanted, F.col("key") == F.col("want"), "left_semi").groupBy("key").agg(F.first("text").alias("text")), f"{name}-texts")
+    return scratch.table(texts.join(wanted, F.col("key") == F.col("want"), "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of class keys whose full shingle sets have 100 * intersection >= percent * union."""
+    pairs = scratch.table(pairs.select("a", "b"), f"{name}-pairs")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -159,50 +165,90 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, n
     return scratch.table(both.mapInArrow(check, "a binary, b binary"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, split: int = 512) -> DataFrame:
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, 2):
+            sets = [shingles(sequence(t)).view(np.int64) for t in texts_of(part.column(2))]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.record_batch([part.column(0), part.column(1), lists], ["key", "label", "shingles"])
+
+
+def prefix_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of rows of sets (key, label, shingles) of other labels, among them all that are similar enough.
+
+    Two sets of sizes n and m are similar enough only with an overlap of percent * (n + m) / (100 + percent), so that of the
+    shingles in one order the first that they share stands before so many others in both. Sizes are dealt into steps of 2 %:
+    each set waits in its own step for sets as large or larger, which look into all steps down to the least size allowed.
+    """
+    step = 1.02
+    sets = sets.withColumn("n", F.size("shingles"))
+    rows = sets.select("key", "label", "n", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    order = rows.join(often, "s").groupBy("key", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
+    order = order.select("key", "label", "n", F.posexplode("l").alias("pos", "e"), F.size("l").alias("shared"))
+    order = order.select("key", "label", "n", F.col("e.s").alias("s"), (F.col("shared") - F.col("pos")).alias("rest"))
+    order = scratch.table(order.where(F.col("rest") * 100 >= F.col("n") * percent), "prefixes")
+    place = lambda n: F.floor(F.log(n) / F.log(F.lit(step)) + 1e-9).cast("int")
+    wait = order.where(F.col("rest") * (100 + percent) >= F.col("n") * 2 * percent)
+    wait = wait.select("s", place(F.col("n")).alias("g"), *[F.col(c).alias(f"{c}2") for c in ("key", "label", "n", "rest")])
+    look = order.withColumn("g", F.explode(F.sequence(place(F.greatest(F.lit(1.0), F.col("n") * percent / 100)) - 1, place(F.col("n")))))
+    least = F.greatest(F.pow(F.lit(step), F.col("g")) - 1, F.col("n") * percent / 100)
+    look = look.where(F.col("rest") * (100 + percent) + 0.001 >= percent * (F.col("n") + least))
+    need = F.least("rest", "rest2") * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    met = look.join(wait, ["s", "g"]).where((F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("n")) & need)
+    return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, split: int = 32) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, n_links (confirmed links of its class that were looked up)."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
     signed = scratch.table(docs.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
-    columns = ["key", "n_shingles", *[f"s{i}" for i in range(LONGS)]]
-    full = signed.where("n_shingles > 0")
-    rows = full.select("key", F.explode("bands").alias("band")).distinct()
-    least = rows.groupBy(F.col("band").alias("in_band")).agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.table(rows.join(least, F.col("band") == F.col("in_band")).select("band", "key", "pivot", "size"), "members")
-    sig = full.groupBy("key").agg(*[F.first(c).alias(c) for c in columns[1:]])
-    sig = scratch.table(sig.join(members.select(F.col("key").alias("m")).distinct(), F.col("key") == F.col("m"), "left_semi"), "sig")
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        a, b = sig.alias("x"), sig.alias("y")
-        pairs = pairs.join(a, F.col("a") == F.col("x.key")).join(b, F.col("b") == F.col("y.key"))
-        return pairs.where(hopeful("x", "y", percent)).select("a", "b")
-
-    stars = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = confirm(promising(stars), docs, percent, scratch, "star")
+    columns = ["n_shingles", *[f"s{i}" for i in range(LONGS)]]
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(*[F.first(c).alias(c) for c in [*columns, "bands"]])
+    classes = scratch.table(classes, "classes")
+    rows = classes.select("key", F.explode(F.array_distinct("bands")).alias("band"))
+    sizes = rows.groupBy(F.col("band").alias("in_band")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = scratch.table(rows.join(sizes, F.col("band") == F.col("in_band")).select("band", "key", "size"), "members")
+    weight = members.groupBy(F.col("key").alias("m")).agg(F.sum("size").alias("weight"))
+    central = members.join(weight, F.col("key") == F.col("m")).groupBy(F.col("band").alias("in_band")).agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
+    sig = scratch.table(classes.select("key", *columns).join(weight, F.col("key") == F.col("m"), "left_semi"), "sig")
+    stars = members.join(central, F.col("band") == F.col("in_band")).where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = stars.join(sig.alias("x"), F.col("a") == F.col("x.key")).join(sig.alias("y"), F.col("b") == F.col("y.key"))
+    stars = scratch.table(stars.where(hopeful("x", "y", percent)).select("a", "b", differing("x", "y").alias("apart")), "stars")
+    texts = fetch(docs, weight.select(F.col("m").alias("want")), scratch)
+
+    def labelled(df: DataFrame, labels: DataFrame, side: str) -> DataFrame:
+        labels = labels.select(F.col("node").alias("at"), F.col("label").alias(f"l{side}"))
+        df = df.join(labels, F.col(side) == F.col("at"), "left").drop("at")
+        return df.withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+
+    nearest = stars.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    links = confirm(nearest, texts, percent, scratch, "star")
     first = scratch.table(components(links, scratch, "c"), "first")
+    others = stars.join(nearest, ["a", "b"], "left_anti")
+    others = labelled(labelled(others, first, "a"), first, "b").where("la <> lb")
+    links = scratch.table(links.union(confirm(others, texts, percent, scratch, "others")).distinct(), "links")
+    first = scratch.table(components(links, scratch, "d"), "second")
 
-    of = members.join(first, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    of = labelled(members.withColumnRenamed("key", "a"), first, "a").select("band", F.col("a").alias("key"), F.col("la").alias("label"), "size")
     mixed = of.groupBy(F.col("band").alias("in_band")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    of = scratch.table(of.join(mixed, F.col("band") == F.col("in_band"), "left_semi").select("band", "key", "label", "size"), "mixed")
-    again = full.select(F.col("key").alias("k"), F.posexplode("bands").alias("at", "other")).distinct()
-    cut = of.where(F.col("size") > split).join(again, F.col("key") == F.col("k")).where(F.col("other") != F.col("band"))
-    cut = cut.select(F.xxhash64("band", "other").alias("band"), "key", "label")
-    bucket = of.where(F.col("size") <= split).select("band", "key", "label").union(cut)
-    bucket = bucket.join(sig.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
+    of = scratch.table(of.join(mixed, F.col("band") == F.col("in_band"), "left_semi"), "mixed")
+    bucket = of.where(F.col("size") <= split).join(sig.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
     a, b = bucket.alias("a"), bucket.alias("b")
-    more = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label")) & hopeful("a", "b", percent))
-    more = confirm(more.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), docs, percent, scratch, "more")
+    small = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label")) & hopeful("a", "b", percent))
+    small = small.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+    crowded = of.where(F.col("size") > split).select(F.col("key").alias("k"), "label").distinct()
+    sets = texts.join(crowded, F.col("key") == F.col("k")).select("key", "label", "text").mapInArrow(listed, "key binary, label binary, shingles array<long>")
+    large = prefix_pairs(scratch.table(sets, "sets"), percent, scratch)
+    more = confirm(small.union(large).distinct(), texts, percent, scratch, "more")
     every = links.union(more).distinct()
 
-    labels = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    between = more.join(labels("a"), "a", "left").join(labels("b"), "b", "left")
-    between = between.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    second = components(between, scratch, "d").select(F.col("node").alias("from"), F.col("label").alias("to"))
-    nodes = first.select("node", "label").union(between.select("a", "a")).union(between.select("b", "b")).distinct()
-    final = nodes.join(second, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
-    degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    final = scratch.table(final.join(degree, "node", "left"), "final")
+    final = scratch.table(components(every, scratch, "e"), "third")
+    degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("n_links"))
+    final = scratch.table(final.join(degree, F.col("node") == F.col("n"), "left").drop("n"), "final")
 
     out = signed.select("doc_id", "key", "n_shingles").join(final, F.col("key") == F.col("node"), "left")
     out = scratch.table(out.select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "out")
