@@ -36,6 +36,7 @@ from .components import components
 WIDTH, BANDS, ROWS, BITS = 5, 40, 4, 4
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
+SLOTS = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 MULTIPLY = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -174,27 +175,57 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), part.column(1), lists], ["key", "label", "shingles"])
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        total += np.bincount(slot(batch.column(0).flatten().to_numpy()), minlength=SLOTS)
+    used = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(used), pa.array(total[used])], ["slot", "c"])
+
+
+def slot(shingles: np.ndarray) -> np.ndarray:
+    return shingles & (SLOTS - 1)
+
+
 def prefix_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of rows of sets (key, label, shingles) of other labels, among them all that are similar enough.
 
     Two sets of sizes n and m are similar enough only with an overlap of percent * (n + m) / (100 + percent), so that of the
-    shingles in one order the first that they share stands before so many others in both. Sizes are dealt into steps of 2 %:
-    each set waits in its own step for sets as large or larger, which look into all steps down to the least size allowed.
+    shingles in one order the first that they share stands before so many others in both. The order is by the count in a
+    table of SLOTS counters, then by hash: any one order is right, and frequent shingles stand out in a table of any fixed
+    size. A shingle alone in its counter is in one set only and is not sent. Sizes are dealt into steps of 10 %: each set
+    waits in its own step for sets as large or larger, which look into all steps down to the least size allowed.
     """
-    step = 1.02
-    sets = sets.withColumn("n", F.size("shingles"))
-    rows = sets.select("key", "label", "n", F.explode("shingles").alias("s"))
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    order = rows.join(often, "s").groupBy("key", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
-    order = order.select("key", "label", "n", F.posexplode("l").alias("pos", "e"), F.size("l").alias("shared"))
-    order = order.select("key", "label", "n", F.col("e.s").alias("s"), (F.col("shared") - F.col("pos")).alias("rest"))
-    order = scratch.table(order.where(F.col("rest") * 100 >= F.col("n") * percent), "prefixes")
+    step = 1.1
+    counts = sets.select("shingles").mapInArrow(counted, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["c"].to_numpy()
+    often = sets.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, values, rest = [], [], []
+            for k, shingle in enumerate(batch.column(2)):
+                s = shingle.values.to_numpy()
+                c = often.value[slot(s)]
+                order = np.lexsort((s, c))
+                left = len(s) - np.arange(len(s))
+                take = (100 * left >= percent * len(s)) & (c[order] > 1)
+                values.append(s[order][take])
+                rest.append(left[take])
+                at.append(np.full(len(rest[-1]), k))
+            rows = batch.select([0, 1, 3]).take(pa.array(np.concatenate(at)))
+            yield pa.record_batch([*rows.columns, pa.array(np.concatenate(values)), pa.array(np.concatenate(rest))], ["key", "label", "n", "s", "rest"])
+
+    order = sets.withColumn("n", F.size("shingles").cast("long")).mapInArrow(prefixes, "key binary, label binary, n long, s long, rest long")
+    order = scratch.table(order, "prefixes")
     place = lambda n: F.floor(F.log(n) / F.log(F.lit(step)) + 1e-9).cast("int")
     wait = order.where(F.col("rest") * (100 + percent) >= F.col("n") * 2 * percent)
     wait = wait.select("s", place(F.col("n")).alias("g"), *[F.col(c).alias(f"{c}2") for c in ("key", "label", "n", "rest")])
-    look = order.withColumn("g", F.explode(F.sequence(place(F.greatest(F.lit(1.0), F.col("n") * percent / 100)) - 1, place(F.col("n")))))
-    least = F.greatest(F.pow(F.lit(step), F.col("g")) - 1, F.col("n") * percent / 100)
-    look = look.where(F.col("rest") * (100 + percent) + 0.001 >= percent * (F.col("n") + least))
+    least, most = F.col("n") * percent / 100, F.least("n", F.floor(F.col("rest") * (100 + percent) / percent + 0.001) - F.col("n"))
+    look = order.withColumn("g", F.explode(F.sequence(F.least(place(most), place(F.greatest(F.lit(1.0), least)) - 1), place(most))))
     need = F.least("rest", "rest2") * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
     met = look.join(wait, ["s", "g"]).where((F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("n")) & need)
     return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
