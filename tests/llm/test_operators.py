@@ -147,6 +147,21 @@ def test_a_large_mixed_bucket_loses_no_link(spark):
     assert small == {tuple(x) for x in neardup.near_duplicates(df).select("doc_id", "component_id").collect()}
 
 
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    r = random.Random(2)
+    sets = [sorted(r.sample(range(60), r.choice([1, 2, 7, 40, 48]))) for _ in range(60)]
+    rows = [(bytes([k]), bytes([k]), s) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key binary, label binary, shingles array<long>")
+    for percent in (60, 75):
+        found = {(x["a"][0], x["b"][0]) for x in neardup.prefix_pairs(df, percent, neardup.Scratch(spark, "test")).collect()}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both, either = len({*sets[a]} & {*sets[b]}), len({*sets[a]} | {*sets[b]})
+                assert 100 * both < percent * either or (a, b) in found
+    one = df.withColumn("label", F.lit(b"x"))
+    assert neardup.prefix_pairs(one, 75, neardup.Scratch(spark, "test")).count() == 0
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_substrings(docs, hot):
     got = sorted(map(tuple, substrings.dedup_substrings(docs, hot=hot).where("doc_id is not null").select("doc_id", "n_words", "n_removed", "kept_sha256").collect()))
