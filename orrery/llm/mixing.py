@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, n_words, running
+from .common import WORD, Scratch, n_words, running
 
 LEVELS = ("domain", "lang", "source")
 
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], tot
     plan = budgets(leaves, F.expr(f"sum(tokens) * {int(total_percent)} div 100"), weights, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("long")
     plan = plan.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "budget", whole.alias("epochs"), (F.col("budget") - whole * F.col("tokens")).alias("rest"))
+    plan = Scratch(docs.sparkSession, "mixing").table(plan, "plan")
     rows = rows.join(plan, [F.col(k) == F.col(f"_{k}") for k in LEVELS]).drop(*[f"_{k}" for k in LEVELS])
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = running(rows, list(LEVELS), key, F.col("n_tokens"), ["doc_id", "text_hash"])
