@@ -119,7 +119,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", found(F.col("text"), ASSIGN, "assign", 2).alias("assign"), found(F.col("text"), ACCESS_RUN, "access").alias("access"), found(F.col("text"), HEX_RUN, "hex").alias("hex"), found(F.col("text"), CANDIDATE, "markov").alias("tokens"))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    table = F.lit(table)
+    table = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # one constant, not one expression a pair
 
     def is_secret(t: Column) -> Column:
         token = F.substring(F.col("text"), t["start"] + 1, t["stop"] - t["start"])
