@@ -6,8 +6,9 @@ sorted, beside arrays of log probabilities and back-off weights. Hashes have `ha
 (and with it what is broadcast) whatever the corpus: at 22 bits 4 orders hold 16.8 M entries at most, 200 MB; byte
 4-grams of real text fill a few per cent of it. Where two n-grams share a hash, the more frequent one stays.
 
-Each language gets bounds on bits per byte from the quartiles of its own documents: a text outside
-[q1 - width * (q3 - q1 + floor), q3 + width * (q3 - q1 + floor)] is rejected.
+Each language gets bounds on bits per byte from the quartiles of its own texts, over all rows, each different text once (so
+that a crowd of copies does not close the band): a text outside
+[q1 - width * (q3 - q1 + floor), q3 + width * (q3 - q1 + floor)] is rejected. Width 3 is the usual fence of far outliers.
 
 Edge cases: a null or empty text has no words, fails the base rules and has null bits; a null language is a language of
 its own; equal texts of one language get equal verdicts; repeated rows stay repeated; an empty table gives no rows;
@@ -34,6 +35,8 @@ SYMBOL[list(b"#*$%&|<>")] = True
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 NO_LANGUAGE = "\x00none"
+#: Quartile ranges from a quartile to its bound, and bits added to the range, for languages of few or like texts.
+WIDTH, FLOOR = 3.0, 0.01
 
 
 def repeated(text: bytes) -> tuple[int, int]:
@@ -262,10 +265,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, lang string, {names}, base_failed boolean, bits double")
 
 
-def bands(scored: DataFrame, width: float = 10.0, floor: float = 0.05) -> DataFrame:
-    """(band_lang, low, high): bounds on bits from the quartiles, to 1/1000 bit, of the documents that the base rules keep."""
+def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
+    """(band_lang, low, high): bounds on bits from the quartiles, to 1/1000 bit, of the different texts that the base rules keep."""
     step = F.floor(F.col("bits") * 1000).cast("long")
-    bins = scored.where(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy("lang", step.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    texts = scored.where(~F.col("base_failed") & F.col("bits").isNotNull()).select("lang", F.round("bits", 6).alias("bits"), *COUNTERS).distinct()
+    bins = texts.groupBy("lang", step.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy("bin")
     total = F.sum("n").over(Window.partitionBy("lang"))
     bins = bins.withColumn("upto", F.sum("n").over(w)).withColumn("total", total)
@@ -282,14 +286,14 @@ def judge(scored: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
 
 
-def quality(docs: DataFrame, hash_bits: int = 22, width: float = 10.0, floor: float = 0.05) -> DataFrame:
+def quality(docs: DataFrame, hash_bits: int = 22, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): counters, base_failed, bits per byte, its language's bounds, kept."""
     model = fit(docs, hash_bits)
     scored = Scratch(docs.sparkSession, "quality").table(score(docs, model), "scored")
     return judge(scored, bands(scored, width, floor))
 
 
-def keep_good(docs: DataFrame, hash_bits: int = 22, width: float = 10.0, floor: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, hash_bits: int = 22, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
     model = fit(docs, hash_bits)
     scored = Scratch(docs.sparkSession, "quality").table(score(docs, model), "scored")

@@ -115,6 +115,22 @@ def test_symbols_and_lines(spark):
     assert (r["n_symbols"], r["n_dup_lines"], r["n_words"]) == (5, 2, 4)
 
 
+def test_bands_reject_on_both_sides(spark):
+    r = random.Random(3)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 8)))
+    common, other = [word("etaoinshrdlu") for _ in range(400)], [word("etaoinshcmpg") for _ in range(400)]
+    text = lambda words, n: " ".join(r.choices(words, [1 / (k + 1) for k in range(len(words))], k=n))
+    rows = [(i, text(common, 300), "en") for i in range(200)] + [(200 + i, text(other, 300), "fr") for i in range(100)]
+    rows += [(1000, " ".join(r.choice(common[:14]) for _ in range(300)), "en"), (1001, text(other, 60), "en")]
+    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert got[1000]["bits"] < got[1000]["low"] and got[1001]["bits"] > got[1001]["high"]
+    assert sorted(i for i, x in got.items() if not x["kept"]) == [1000, 1001]
+    copies = [("en", False, 2.0 + i / 100, i, 1, 0, 0, 0) for i in range(20)] + [("en", False, 2.1, 10, 1, 0, 0, 0)] * 90
+    few = quality.bands(spark.createDataFrame(copies, "lang string, base_failed boolean, bits double, " + ", ".join(f"{n} long" for n in quality.COUNTERS))).first()
+    assert few["low"] < 2.0 and few["high"] > 2.19  # copies do not close the band
+
+
 def test_near_duplicates(docs):
     got = neardup.near_duplicates(docs).collect()
     def shingle(t):
