@@ -1,10 +1,10 @@
 """Quality rules: base counters, and the perplexity of a modified Kneser-Ney n-gram model of UTF-8 bytes.
 
 Spark counts the n-grams of every text of every document, per language, and derives continuation counts, discounts,
-probabilities and back-off weights with joins and aggregates. The finished model is an array of hashes for each order,
-sorted, beside arrays of log probabilities and back-off weights. Hashes have `hash_bits` bits, which bounds the model
-(and with it what is broadcast) whatever the corpus: at 22 bits 4 orders hold 16.8 M entries at most, 200 MB; byte
-4-grams of real text fill a few per cent of it. Where two n-grams share a hash, the more frequent one stays.
+probabilities and back-off weights with joins and aggregates. No n-gram is dropped and none can take another's place: a key
+is the gram's bytes and its language's number, mixed by a function that is one to one on 64 bits. A model of at most
+`limit` entries is broadcast, as a sorted array of keys for each order beside arrays of log probabilities and back-off
+weights; a larger one stays a table, and each distinct gram of the texts finds its cost by joins.
 
 Each language gets bounds on bits per byte from the quartiles of its own texts, over all rows, each different text once (so
 that a crowd of copies does not close the band): a text outside
@@ -37,6 +37,8 @@ SPACE[[0x20, *range(9, 14)]] = True
 NO_LANGUAGE = "\x00none"
 #: Quartile ranges from a quartile to its bound, and bits added to the range, for languages of few or like texts.
 WIDTH, FLOOR = 3.0, 0.01
+#: Entries of all orders up to which a model is broadcast; a Python worker holds about 24 bytes for each.
+LIMIT = 4_000_000
 
 
 def repeated(text: bytes) -> tuple[int, int]:
@@ -93,13 +95,9 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return packed[where], at
 
 
-def tag(lang: str | None) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest((NO_LANGUAGE if lang is None else lang).encode()))
-
-
-def slots(tags: np.ndarray | np.uint64, order: int, packed: np.ndarray, bits: int) -> np.ndarray:
-    salt = np.uint64((order * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    return mix((packed.astype(np.uint64) + salt) ^ tags) >> np.uint64(64 - bits)
+def keys(numbers: np.ndarray | np.uint64, packed: np.ndarray) -> np.ndarray:
+    """One key for each pair of a language's number and packed bytes: mix() is one to one."""
+    return mix(packed.astype(np.uint64) | numbers << np.uint64(32))
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +105,9 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         for lang, parts in held.items():
-            keys, index = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            distinct, index = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             n = np.bincount(index, np.concatenate([c for _, c in parts])).astype(np.int64)
-            yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            yield pa.record_batch([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
         held.clear()
 
     size = 0
@@ -120,9 +118,9 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(langs)), np.diff(at))
             for lang in set(langs):
                 mine = packed[np.array([x == lang for x in langs])[owner]] if len(set(langs)) > 1 else packed
-                keys, n = np.unique(mine, return_counts=True)
-                held.setdefault(lang, []).append((keys, n))
-                size += len(keys)
+                distinct, n = np.unique(mine, return_counts=True)
+                held.setdefault(lang, []).append((distinct, n))
+                size += len(distinct)
             if size > 2_000_000:
                 yield from flush()
                 size = 0
@@ -173,53 +171,52 @@ def model_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return table
 
 
-def fit(docs: DataFrame, hash_bits: int = 22) -> dict:
-    """The model as {"bits", orders: {k: (sorted hashes, logp, logb)}}; at most 2 ** hash_bits entries an order."""
+def fit(docs: DataFrame, hash_bits: int = 64, limit: int = LIMIT) -> dict:
+    """The model as {"langs": numbers of languages, "orders": {k: (sorted keys, logp, logb)}}, or as {"table"} where it has
+    more than limit entries. hash_bits stays for callers and changes nothing: keys are whole."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "quality")
-    table = model_table(docs, scratch)
+    table = scratch.table(model_table(docs, scratch).withColumn("logb", F.coalesce("logb", F.lit(0.0))).drop("n"), "model")
+    for name in ("grams", *(f"p{k}" for k in range(1, ORDER + 1))):
+        scratch.drop(name)
+    if table.count() > limit:
+        return {"table": table}
+    langs = {r["lang"]: i for i, r in enumerate(table.where("order = 0").select("lang").collect())}
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            order, packed = (b.column(i).to_numpy() for i in (1, 2))
-            langs = b.column(0).to_pylist()
-            known = {x: tag(x) for x in set(langs)}
-            tags = np.array([known[x] for x in langs], np.uint64)
-            h = np.zeros(len(packed), np.int64)
-            for k in set(order.tolist()):
-                h[order == k] = slots(tags[order == k], k, packed[order == k], hash_bits).astype(np.int64)
-            yield pa.record_batch([b.column(1), pa.array(h), *b.columns[3:]], ["order", "hash", "n", "logp", "logb"])
-
-    table = table.mapInArrow(hashed, "order int, hash long, n long, logp double, logb double")
-    best = F.max(F.struct("n", "logp", "logb")).alias("x")
-    table = table.groupBy("order", "hash").agg(best).select("order", "hash", F.col("x.logp").cast("float").alias("logp"), F.coalesce("x.logb", F.lit(0.0)).cast("float").alias("logb"))
-    got = table.toArrow()
-    order, hashes, logp, logb = (got.column(c).to_numpy() for c in ("order", "hash", "logp", "logb"))
+            numbers = np.array([langs[x] for x in b.column(0).to_pylist()], np.uint64)
+            yield pa.record_batch([b.column(1), pa.array(keys(numbers, b.column(2).to_numpy()).view(np.int64)), *b.columns[3:]], ["order", "key", "logp", "logb"])
+
+    table = table.select("lang", "order", "gram", F.col("logp").cast("float"), F.col("logb").cast("float"))
+    got = table.mapInArrow(keyed, "order int, key long, logp float, logb float").toArrow()
+    order, found, logp, logb = (got.column(c).to_numpy() for c in ("order", "key", "logp", "logb"))
+    found = found.view(np.uint64)
     orders = {}
     for k in range(ORDER + 1):
         mine = np.flatnonzero(order == k)
-        mine = mine[np.argsort(hashes[mine])]
-        orders[k] = (hashes[mine].astype(np.uint32 if hash_bits <= 32 else np.uint64), logp[mine], logb[mine])
-    for name in ("grams", *(f"p{k}" for k in range(1, ORDER + 1))):
-        scratch.drop(name)
-    return {"bits": hash_bits, "orders": orders}
+        mine = mine[np.argsort(found[mine])]
+        orders[k] = (found[mine], logp[mine], logb[mine])
+    scratch.drop("model")
+    return {"langs": langs, "orders": orders}
 
 
 class Scorer:
     def __init__(self, model: dict) -> None:
-        self.bits = model["bits"]
-        self.orders = {k: (HashArray(h, self.bits), p.astype(np.float64), b.astype(np.float64)) for k, (h, p, b) in model["orders"].items()}
+        self.langs = model["langs"]
+        self.orders = {k: (HashArray(h, 64), p.astype(np.float64), b.astype(np.float64)) for k, (h, p, b) in model["orders"].items()}
 
     def bits_of(self, texts: pa.Array, langs: list[str | None]) -> np.ndarray:
         """Bits per byte of each text under the model of its language; nan for a text without bytes."""
         packed, at = grams(texts)
-        tags = np.repeat(np.array([tag(x) for x in langs], np.uint64), np.diff(at))
+        numbers = [self.langs.get(NO_LANGUAGE if x is None else x, len(self.langs)) for x in langs]
+        numbers = np.repeat(np.array(numbers, np.uint64), np.diff(at))
         cost = np.zeros(len(packed))
         left, k = np.arange(len(packed)), ORDER
         while k and len(left):
             found, logp, _ = self.orders[k]
-            index = found.find(slots(tags[left], k, packed[left] & np.uint32((1 << 8 * k) - 1), self.bits))
+            index = found.find(keys(numbers[left], packed[left] & np.uint32((1 << 8 * k) - 1)))
             hit = index >= 0
             cost[left[hit]] -= logp[index[hit]]
             left = left[~hit]
@@ -227,13 +224,44 @@ class Scorer:
             if len(left):
                 found, _, logb = self.orders[k]
                 context = (packed[left] >> np.uint32(8)) & np.uint32((1 << 8 * k) - 1)
-                index = found.find(slots(tags[left], k, context, self.bits))
+                index = found.find(keys(numbers[left], context))
                 cost[left] -= np.where(index >= 0, logb[np.maximum(index, 0)], 0.0) if len(logb) else 0.0
         cost[left] += 8.0
         n = np.diff(at)
         return np.where(n > 0, sums(cost, at) / np.maximum(n, 1), np.nan)
 
 
+def grams_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, lang, gram, n) for each distinct gram of each text."""
+    for batch in batches:
+        for part in pieces(batch, 0):
+            packed, at = grams(part.column(0))
+            owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(at))
+            distinct, n = np.unique(owner << np.uint64(32) | packed, return_counts=True)
+            rows = pa.array((distinct >> np.uint64(32)).astype(np.int64))
+            gram = pa.array((distinct & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            yield pa.record_batch([part.column(2).take(rows), part.column(1).fill_null(NO_LANGUAGE).take(rows), gram, pa.array(n)], ["digest", "lang", "gram", "n"])
+
+
+def joined_bits(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(bits_digest, bits_lang, bits) of each text and language, by joins with a model of any size; as Scorer.bits_of."""
+    held = docs.select("text", "lang", F.sha2("text", 256).alias("digest")).mapInArrow(grams_of_texts, "digest string, lang string, gram long, n long")
+    cost, owed = F.lit(None).cast("double"), F.lit(0.0)
+    each = held.select("lang", "gram").distinct()
+    for k in range(ORDER, 0, -1):
+        mask = lambda order: F.lit((1 << 8 * order) - 1).cast("long")
+        own = table.where(F.col("order") == k).select("lang", F.col("gram").alias("_g"), F.col("logp").alias(f"logp{k}"))
+        back = table.where(F.col("order") == k - 1).select("lang", F.col("gram").alias("_c"), F.col("logb").alias(f"logb{k}"))
+        each = each.withColumn("_g", F.col("gram").bitwiseAND(mask(k))).join(own, ["lang", "_g"], "left").drop("_g")
+        each = each.withColumn("_c", F.shiftright("gram", 8).bitwiseAND(mask(k - 1))).join(back, ["lang", "_c"], "left").drop("_c")
+        cost = F.coalesce(cost, owed - F.col(f"logp{k}"))
+        owed = owed - F.coalesce(F.col(f"logb{k}"), F.lit(0.0))
+    each = each.select("lang", "gram", F.coalesce(cost, owed + 8.0).alias("cost"))
+    # Copies of a text add to both sums alike.
+    bits = held.join(each, ["lang", "gram"]).groupBy("digest", "lang").agg((F.sum(F.col("n") * F.col("cost")) / F.sum("n")).alias("bits"))
+    return bits.select(F.col("digest").alias("bits_digest"), F.col("lang").alias("bits_lang"), "bits")
+
+
 COUNTERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -250,19 +278,23 @@ def scorer_on(model) -> Callable[[], Scorer]:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang, counters, base_failed, bits) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    joined = "table" in model
+    shared = None if joined else docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = None if joined else Scorer(shared.value)
         for batch in batches:
             for part in pieces(batch, 1):
                 c = counters(part.column(1))
-                langs = part.column(2).to_pylist()
-                bits = scorer.bits_of(part.column(1), langs)
-                yield pa.record_batch([part.column(0), part.column(2), *[pa.array(c[n], pa.int64()) for n in COUNTERS], pa.array(base_failed(c)), pa.array(bits, from_pandas=True)], ["doc_id", "lang", *COUNTERS, "base_failed", "bits"])
+                last = part.column(3) if joined else pa.array(scorer.bits_of(part.column(1), part.column(2).to_pylist()), from_pandas=True)
+                yield pa.record_batch([part.column(0), part.column(2), *[pa.array(c[n], pa.int64()) for n in COUNTERS], pa.array(base_failed(c)), last], ["doc_id", "lang", *COUNTERS, "base_failed", "digest" if joined else "bits"])
 
-    names = ", ".join(f"{n} long" for n in COUNTERS)
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, lang string, {names}, base_failed boolean, bits double")
+    names = "doc_id long, lang string, " + ", ".join(f"{n} long" for n in COUNTERS) + ", base_failed boolean, "
+    if not joined:
+        return docs.select("doc_id", "text", "lang").mapInArrow(run, names + "bits double")
+    rows = docs.select("doc_id", "text", "lang", F.sha2("text", 256).alias("digest")).mapInArrow(run, names + "digest string")
+    same = (F.col("digest") == F.col("bits_digest")) & (F.coalesce("lang", F.lit(NO_LANGUAGE)) == F.col("bits_lang"))
+    return rows.join(joined_bits(docs, model["table"]), same, "left").drop("bits_digest", "bits_lang")
 
 
 def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
@@ -286,17 +318,20 @@ def judge(scored: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
 
 
-def quality(docs: DataFrame, hash_bits: int = 22, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
+def quality(docs: DataFrame, hash_bits: int = 64, width: float = WIDTH, floor: float = FLOOR, limit: int = LIMIT) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): counters, base_failed, bits per byte, its language's bounds, kept."""
-    model = fit(docs, hash_bits)
+    model = fit(docs, hash_bits, limit)
     scored = Scratch(docs.sparkSession, "quality").table(score(docs, model), "scored")
-    return judge(scored, bands(scored, width, floor))
+    return judge(scored, bands(scored, width, floor)).drop("digest")
 
 
-def keep_good(docs: DataFrame, hash_bits: int = 22, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
+def keep_good(docs: DataFrame, hash_bits: int = 64, width: float = WIDTH, floor: float = FLOOR, limit: int = LIMIT) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
-    model = fit(docs, hash_bits)
+    model = fit(docs, hash_bits, limit)
     scored = Scratch(docs.sparkSession, "quality").table(score(docs, model), "scored")
+    if "table" in model:
+        good = judge(scored, bands(scored, width, floor)).where("kept").select(F.col("digest").alias("good_digest"), F.col("lang").alias("good_lang")).distinct()
+        return docs.join(good, (F.sha2(docs["text"], 256) == good["good_digest"]) & docs["lang"].eqNullSafe(good["good_lang"]), "left_semi")
     limits = {r["band_lang"]: (r["low"], r["high"]) for r in bands(scored, width, floor).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast((model, limits))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")

@@ -131,6 +131,26 @@ def test_bands_reject_on_both_sides(spark):
     assert few["low"] < 2.0 and few["high"] > 2.19  # copies do not close the band
 
 
+def test_every_gram_is_scored_by_its_own_entry(spark):
+    r = random.Random(4)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60_000)) for _ in range(4)]  # over 10 % of 2^22 slots an order
+    rows = [(i, t, "zh") for i, t in enumerate(texts)] + [(9, " ".join(["alpha beta", "gamma"] * 30), None), (10, None, "zh"), (11, "", "zh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["bits"] for x in quality.quality(df).collect()}
+    assert np.allclose([got[i] for i in range(4)], brute_perplexity([t.encode() for t in texts]), rtol=1e-6)
+    assert np.isclose(got[9], brute_perplexity([rows[4][1].encode()])[0], rtol=1e-6) and got[10] is None and got[11] is None
+
+
+def test_a_model_too_large_to_broadcast_gives_equal_results(spark, docs):
+    small, large = (sorted(quality.quality(docs, limit=n).drop("low", "high").collect(), key=str) for n in (quality.LIMIT, 1))
+    assert [x[:-2] + x[-1:] for x in small] == [x[:-2] + x[-1:] for x in large]
+    assert np.allclose([x["bits"] or 0 for x in small], [x["bits"] or 0 for x in large], rtol=1e-6)
+    assert sorted(map(str, quality.keep_good(docs, limit=1).collect())) == sorted(map(str, quality.keep_good(docs).collect()))
+    unseen = spark.createDataFrame([(1, "unseen words here \u00e9", "en"), (2, "abc", "xx")], "doc_id long, text string, lang string")
+    a, b = ([x["bits"] for x in quality.score(unseen, quality.fit(docs, limit=n)).orderBy("doc_id").collect()] for n in (quality.LIMIT, 1))
+    assert np.allclose(a, b, rtol=1e-6)
+
+
 def test_near_duplicates(docs):
     got = neardup.near_duplicates(docs).collect()
     def shingle(t):
