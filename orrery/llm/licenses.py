@@ -1,14 +1,15 @@
-"""License scans: winnowed fingerprints of templates in an inverted index, then banded sequence alignment.
+"""License scans: fingerprints of templates in an inverted index, then banded sequence alignment.
 
-Templates and texts are sequences of lower-case words of letters and digits. Of the hashes of all runs of K words, the
-least in every W consecutive ones is a fingerprint (leftmost among equals), so a shared run of K + W - 1 words always shares
-one. The index maps a fingerprint to its places in templates; it holds the templates alone, so its size is theirs. The hits
+Templates and texts are sequences of lower-case words of letters and digits. The hash of every run of K words is a
+fingerprint; a template of so few words that a find may share no run of K words with it has shorter runs.
+The index maps a fingerprint to its places in templates; it holds the templates alone, so its size is theirs. The hits
 of a text and a template fall into clusters by diagonal (place in the text minus place in the template); each cluster with
 an eighth of the template's fingerprints (one at least) is a candidate, and its stretch of the text is aligned with the template within a band around the diagonal
 (match 2, mismatch and gap -1, local). An alignment reports the words of the template that it matches exactly.
 
 A template is found where matched words / template words >= `coverage`. Of overlapping finds of one template the better
-stays; a template inside the span of a longer one that is found with at least as many matched words is not reported.
+stays; a template inside the span of another that is found with more matched words (of equally many, with more of its own
+words) is not reported.
 
 Edge cases: a null or empty text has no finds; equal texts have equal finds; repeated rows stay repeated; an empty table
 gives no rows; further columns are ignored whatever their names.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import mix, pieces, small_batches, texts_of
 
-K, W, BAND = 3, 3, 12
+K, BAND = 3, 12
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
 
 # License texts and notices as their publishers word them.
@@ -72,36 +73,37 @@ def tokens(text: bytes) -> list[bytes]:
     return TOKEN.findall(text.lower())
 
 
-def fingerprints(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the winnowed fingerprints."""
-    n = len(words) - K + 1
+def fingerprints(words: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of all runs of k words."""
+    n = len(words) - k + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     runs = np.zeros(n, np.uint64)
-    for k in range(K):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    runs = mix(runs)
-    if n <= W:
-        at = np.array([int(runs.argmin())])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(runs, W)
-        at = np.unique(windows.argmin(axis=1) + np.arange(n - W + 1))
-    return runs[at], at
+    for i in range(k):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return mix(runs), np.arange(n)
+
+
+def run_length(n: int, coverage: float) -> int:
+    """Words in a row that a text shares with a template of n words wherever coverage is reached by changing words, K at most."""
+    kept = next((m for m in range(n + 1) if n and m / n >= coverage), n)
+    return max(1, min(K, -(-kept // (n - kept + 1))))
 
 
 class Index:
     """Fingerprint -> (template, place), sorted arrays."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float = 0.8) -> None:
         self.names = sorted(templates)
         self.words = [tokens(templates[x].encode()) for x in self.names]
+        self.runs = [run_length(len(words), coverage) for words in self.words]
         rows = []
         for t, words in enumerate(self.words):
-            hashes, at = fingerprints(words)
+            hashes, at = fingerprints(words, self.runs[t])
             rows += [(int(h), t, int(a)) for h, a in zip(hashes, at)]
         rows.sort()
-        self.needs = [max(1, len(fingerprints(words)[0]) // 8) for words in self.words]
+        self.needs = [max(1, len(fingerprints(words, k)[0]) // 8) for words, k in zip(self.words, self.runs)]
         self.hashes = np.array([r[0] for r in rows], np.uint64)
         self.places = [(r[1], r[2]) for r in rows]
 
@@ -151,7 +153,8 @@ def clusters(hits: list[tuple[int, int]], band: int = BAND) -> list[list[tuple[i
 
 def finds(words: list[bytes], index: Index, coverage: float) -> list[tuple[str, int, int, int, float]]:
     """(template, first word, last word exclusive, matched words, coverage) in order of place and name."""
-    hits = index.hits(*fingerprints(words))
+    found = [fingerprints(words, k) for k in sorted({K, *index.runs})]
+    hits = index.hits(*map(np.concatenate, zip(*found)))
     out = []
     for t, places in hits.items():
         template, of = index.words[t], []
@@ -171,7 +174,7 @@ def finds(words: list[bytes], index: Index, coverage: float) -> list[tuple[str,
             if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
                 kept.append(x)
         out += kept
-    inside = lambda x, y: x is not y and y[1] <= x[1] and x[2] <= y[2] and (y[3], y[0]) > (x[3], x[0])
+    inside = lambda x, y: x is not y and y[1] <= x[1] and x[2] <= y[2] and (y[3], y[4], y[0]) > (x[3], x[4], x[0])
     return sorted((x for x in out if not any(inside(x, y) for y in out)), key=lambda x: (x[1], x[0]))
 
 
@@ -183,7 +186,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, coverage)
         for batch in batches:
             for part in pieces(batch, 1):
                 n, found = [], []

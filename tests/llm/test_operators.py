@@ -65,6 +65,17 @@ def test_licenses(spark):
     assert got[3] == [("MIT-notice", 0, 5, 5)] and got[4] == got[5] == got[6] == [] and got[7][0][:3] == ("CC-BY-NC-4.0-line", 1, 8)
 
 
+def test_license_with_any_one_word_changed():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in zip(index.names, index.words):
+        for k in range(len(template)) if len(template) > 4 else ():
+            text = [b"before", b"it"] + template[:k] + [b"changed"] + template[k + 1 :] + [b"after", b"it"]
+            found = [x for x in licenses.finds(text, index, 0.8) if x[3] >= len(template) - 1]
+            # Without the word "ShareAlike" a text holds all words of the other Creative Commons line.
+            assert name in {x[0] for x in found} or (name, k) == ("CC-BY-SA-4.0-line", 9) and found[0][0] == "CC-BY-4.0-line", (name, k)
+        assert name in {x[0] for x in licenses.finds(template, index, 0.8)}
+
+
 def brute_perplexity(texts):
     """Modified Kneser-Ney over bytes with dictionaries, one language."""
     from collections import Counter, defaultdict
