@@ -5,7 +5,9 @@ fingerprint; a template of so few words that a find may share no run of K words
 The index maps a fingerprint to its places in templates; it holds the templates alone, so its size is theirs. The hits
 of a text and a template fall into clusters by diagonal (place in the text minus place in the template); each cluster with
 an eighth of the template's fingerprints (one at least) is a candidate, and its stretch of the text is aligned with the template within a band around the diagonal
-(match 2, mismatch and gap -1, local). An alignment reports the words of the template that it matches exactly.
+(match 2, mismatch and gap -1, local). An alignment reports the words of the template that it matches exactly. Where no
+cluster alone reaches the coverage, clusters of any size are aligned and chained in the order of both text and template,
+whatever stands between them, and their matched words and spans add up.
 
 A template is found where matched words / template words >= `coverage`. Of overlapping finds of one template the better
 stays; a template inside the span of another that is found with more matched words (of equally many, with more of its own
@@ -119,25 +121,41 @@ class Index:
         return out
 
 
-def align(text: list[bytes], template: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Banded local alignment: template words matched, first and last text place (exclusive). text[i] faces template[i - diagonal]."""
-    best, found = 0, (0, 0, 0)
-    before: dict[int, tuple[int, int, int]] = {}  # template place -> score, matched, start
+def align(text: list[bytes], template: list[bytes], diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
+    """Banded local alignment: (text place, template place) of the words matched. text[i] faces template[i - diagonal]."""
+    best, found = 0, None
+    before: dict[int, tuple] = {}  # template place -> score, last match as (text place, template place, match before)
     for i, word in enumerate(text):
-        now: dict[int, tuple[int, int, int]] = {}
+        now: dict[int, tuple] = {}
         for j in range(max(0, i - diagonal - band), min(len(template), i - diagonal + band + 1)):
-            same = word == template[j]
-            s, m, a = before.get(j - 1, (0, 0, i))
-            x = (s + 2, m + 1, a) if same else (s - 1, m, a)
+            s, m = before.get(j - 1, (0, None))
+            x = (s + 2, (i, j, m)) if word == template[j] else (s - 1, m)
             for other in (before.get(j), now.get(j - 1)):
                 if other and other[0] - 1 > x[0]:
-                    x = (other[0] - 1, other[1], other[2])
+                    x = (other[0] - 1, other[1])
             if x[0] > 0:
                 now[j] = x
                 if x[0] > best:
-                    best, found = x[0], (x[1], x[2], i + 1)
+                    best, found = x
         before = now
-    return found
+    out = []
+    while found:
+        out.append(found[:2])
+        found = found[2]
+    return out[::-1]
+
+
+def chain(parts: list[list[tuple[int, int]]]) -> tuple[list[int], list[tuple[int, int]]]:
+    """The parts that in order of text and template match the most words, and the words; where two overlap, the later one's are cut."""
+    ends: list[tuple[list[int], list[tuple[int, int]]]] = []
+    for k, part in enumerate(parts):
+        best = ([k], part)
+        for used, pairs in ends:
+            rest = [x for x in part if x[0] > pairs[-1][0] and x[1] > pairs[-1][1]]
+            if rest and len(pairs) + len(rest) > len(best[1]):
+                best = ([*used, k], pairs + rest)
+        ends.append(best)
+    return max(ends, key=lambda x: (len(x[1]), x[1][0][0] - x[1][-1][0]))
 
 
 def clusters(hits: list[tuple[int, int]], band: int = BAND) -> list[list[tuple[int, int]]]:
@@ -157,17 +175,35 @@ def finds(words: list[bytes], index: Index, coverage: float) -> list[tuple[str,
     hits = index.hits(*map(np.concatenate, zip(*found)))
     out = []
     for t, places in hits.items():
-        template, of = index.words[t], []
-        for group in clusters(places):
-            if len(group) < index.needs[t]:
-                continue
+        template, of, left = index.words[t], [], []
+
+        def aligned(group: list[tuple[int, int]]) -> list[tuple[int, int]]:
             mid = group[len(group) // 2]
             diagonal = mid[0] - mid[1]
             lo, hi = max(0, diagonal - BAND), min(len(words), diagonal + len(template) + BAND)
-            matched, a, b = align(words[lo:hi], template, diagonal - lo)
-            share = matched / len(template)
+            return [(lo + i, j) for i, j in align(words[lo:hi], template, diagonal - lo)]
+
+        def add(pairs: list[tuple[int, int]]) -> bool:
+            share = len(pairs) / len(template)
             if share >= coverage:
-                of.append((index.names[t], lo + a, lo + b, matched, share))
+                of.append((index.names[t], pairs[0][0], pairs[-1][0] + 1, len(pairs), share))
+            return share >= coverage
+
+        for group in clusters(places):
+            if len(group) < index.needs[t]:
+                left.append((group, None))
+            elif not add(pairs := aligned(group)):
+                left.append((group, pairs))
+        # Words of finds are no parts of others.
+        left = [x for x in left if not any(y[1] <= x[0][0][0] < y[2] for y in of)]
+        if len(left) > 1 and len({place for group, _ in left for _, place in group}) >= index.needs[t]:
+            parts = {tuple(aligned(group) if pairs is None else pairs) for group, pairs in left}
+            parts = sorted(list(x) for x in parts if x)
+            while len(parts) > 1:
+                used, pairs = chain(parts)
+                if not add(pairs):
+                    break
+                parts = [x for k, x in enumerate(parts) if k not in used]
         of.sort(key=lambda x: (-x[3], x[1]))
         kept: list[tuple] = []
         for x in of:

@@ -76,6 +76,21 @@ def test_license_with_any_one_word_changed():
         assert name in {x[0] for x in licenses.finds(template, index, 0.8)}
 
 
+def test_license_with_insertions():
+    index = licenses.Index(licenses.TEMPLATES)
+    words = index.words[index.names.index("BSD-3-Clause")]
+    clause = [f"clause{k}" for k in range(24)]
+    text = [b"before"] + words[:71] + [x.encode() for x in clause] + words[72:] + [b"after"]
+    got = licenses.finds(text, index, 0.8)
+    assert [x[:4] for x in got] == [("BSD-3-Clause", 1, len(text) - 1, len(words) - 1)]
+    mit = index.words[index.names.index("MIT")]
+    far = [b"x"] * 40
+    thirds = mit[:60] + far + mit[60:120] + far * 3 + mit[120:]
+    assert [x[:4] for x in licenses.finds(thirds + mit, index, 0.8)] == [("MIT", 0, len(thirds), len(mit)), ("MIT", len(thirds), len(thirds) + len(mit), len(mit))]
+    assert not licenses.finds(mit[120:] + far + mit[60:120] + far + mit[:60], index, 0.8)  # not in order
+    assert not licenses.finds(mit[:60] + far + mit[120:], index, 0.8)
+
+
 def brute_perplexity(texts):
     """Modified Kneser-Ney over bytes with dictionaries, one language."""
     from collections import Counter, defaultdict
