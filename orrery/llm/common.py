@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all run in one process
+    (tests), a temporary one. A cluster without the setting is an error, as executors would write where nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,7 +42,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -135,7 +143,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def running(df: DataFrame, keys: list[str], key: Column, weight: Column, order: list[str], rows: int = 20_000) -> DataFrame:
+def running(df: DataFrame, keys: list[str], key: Column, weight: Column, order: list[str], rows: int = 2_000) -> DataFrame:
     """Adds `before`: the sum of weight over the rows of the same keys that come earlier in (key, order).
 
     key is a hex string spread evenly (a digest). A group is cut into as many slices of the key's leading digits as its

@@ -11,13 +11,12 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) for each node of edges (a, b): label is the least node that it reaches.
 
-    Alternates large-star and small-star steps until nothing changes; no step holds the neighbours of a node together.
-    Loops, nulls and repeated edges are allowed.
+    Alternates large-star and small-star steps until every node has one edge, to a node without edges of its own; no step
+    holds the neighbours of a node together. Loops, nulls and repeated edges are allowed.
     """
-    at = 0
     now = scratch.table(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    mark = fingerprint(now)
-    while mark[0]:
+    at = 0
+    while not is_forest_of_stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -27,11 +26,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         at += 1
         now = scratch.table(small, f"{name}{at}")
         scratch.drop(f"{name}{at - 1}")
-        last, mark = mark, fingerprint(now)
-        if mark == last:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each greater end has one edge and no lesser end is the greater end of another."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    of = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return of.where("up > 1 or (up > 0 and down > 0)").isEmpty()

@@ -7,16 +7,18 @@ than 5.5 standard deviations under the threshold) ends there; the others are con
 similarity 0.75 misses all bands with probability 2.5e-7, one at 0.8 with 6e-10.
 
 Texts of the same word sequence form a class and only one of them goes on. Each band's bucket has a pivot: the class that
-shares the most buckets' places with others, which in a group of copies is the text they were made from. First every class
-is compared with the nearest of its buckets' pivots, by the packed bits, then with its other pivots that are not yet in
-its component: a row a class and bucket, whatever the bucket's size. Buckets that still hold several components are
-then joined within themselves, between components, if they have at most `split` classes. Larger ones are too many pairs, so
-that their classes are matched by an exact prefix filter: with the shingles of each set in order of frequency, two sets of
-enough similarity share one near the start of both. Words that only one copy has come first and are never matched.
+shares the most buckets' places with others, which in a group of copies is the text they were made from. Every class is
+compared with its buckets' pivots by the packed bits and linked with the nearest if full sets confirm it: a row a class and
+bucket, whatever the bucket's size. Buckets that then still hold several components need more pairs, but all pairs of a
+bucket would grow with its square. Their classes find their partners in other components by an exact prefix filter
+instead, whatever the bucket's size: with the shingles of each set in order of frequency, two sets of enough similarity
+share one near the start of both. The pairs pass the packed bits and the full sets as before. Frequent shingles come last
+in that order and are hardly ever sent.
 
 Edge cases: a null or empty text, or one without words, has n_shingles 0 and is its own component; repeated rows stay
-repeated, under one component; equal texts link whatever their ids; a null doc_id never names a component that has other
-ids; an empty table gives no rows; further columns are ignored whatever their names.
+repeated, under one component, all of them kept or none; equal texts link whatever their ids; a null doc_id never names a
+component that has other ids and is kept only where its component has none (of several texts the one of least digest);
+an empty table gives no rows; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -86,14 +88,20 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return mix((parts * BAND).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
-SIGNED = "doc_id long, key binary, n_shingles long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", bands array<long>"
+SIGNED = "doc_id long, rid binary, key binary, n_shingles long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", bands array<long>"
+SIGNATURE = ["n_shingles", *[f"s{i}" for i in range(LONGS)]]
+
+
+def row_digest() -> Column:
+    """128 bits of doc_id and text. Rows that agree in both share it."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, 1):
+        for part in pieces(batch, 2):
             keys, sizes, rows = [], [], []
-            for text in texts_of(part.column(1)):
+            for text in texts_of(part.column(2)):
                 words = sequence(text)
                 s = shingles(words)
                 keys.append(key_of(words))
@@ -102,14 +110,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = np.stack(rows)
             packed, bands = pack(m), band_keys(m)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(m) + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-            yield pa.record_batch([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(LONGS)], lists], ["doc_id", "key", "n_shingles", *[f"s{i}" for i in range(LONGS)], "bands"])
-
-
-def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, 0):
-            keys = [key_of(sequence(t)) for t in texts_of(part.column(0))]
-            yield pa.record_batch([pa.array(keys, pa.binary()), part.column(0)], ["key", "text"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(LONGS)], lists], ["doc_id", "rid", "key", *SIGNATURE, "bands"])
 
 
 def differing(a: str, b: str) -> Column:
@@ -132,17 +133,21 @@ def hopeful(a: str, b: str, percent: int, slack: float = 0.2) -> Column:
     return (small * 100 >= large * percent) & (differing(a, b) <= most)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """One text of each class whose key is in wanted (want)."""
-    texts = docs.select("text").mapInArrow(keyed, "key binary, text string")
-    return scratch.table(texts.join(wanted, F.col("key") == F.col("want"), "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+def estimated(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are hopeful by their packed bits, and how many groups of bits keep them apart."""
+    both = pairs.join(sig.alias("x"), F.col("a") == F.col("x.key")).join(sig.alias("y"), F.col("b") == F.col("y.key"))
+    return both.where(hopeful("x", "y", percent)).select("a", "b", differing("x", "y").alias("apart"))
+
 
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str, parts: int = 64) -> DataFrame:
+    """The pairs (a, b) of class keys whose full shingle sets have 100 * intersection >= percent * union.
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of class keys whose full shingle sets have 100 * intersection >= percent * union."""
-    pairs = scratch.table(pairs.select("a", "b"), f"{name}-pairs")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    A class b of many pairs is dealt over `parts` parts by a, and its text goes once to each part that has pairs.
+    """
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part"))
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    right = pairs.select("b", "part").distinct().join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -163,7 +168,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch,
                 kept.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    return scratch.table(both.mapInArrow(check, "a binary, b binary"), f"{name}-links")
+    return scratch.table(both.mapInArrow(check, "a binary, b binary"), name)
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +226,7 @@ def prefix_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
     order = sets.withColumn("n", F.size("shingles").cast("long")).mapInArrow(prefixes, "key binary, label binary, n long, s long, rest long")
     order = scratch.table(order, "prefixes")
+    often.destroy()
     place = lambda n: F.floor(F.log(n) / F.log(F.lit(step)) + 1e-9).cast("int")
     wait = order.where(F.col("rest") * (100 + percent) >= F.col("n") * 2 * percent)
     wait = wait.select("s", place(F.col("n")).alias("g"), *[F.col(c).alias(f"{c}2") for c in ("key", "label", "n", "rest")])
@@ -231,66 +237,66 @@ def prefix_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, split: int = 32) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, n_links (confirmed links of its class that were looked up)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "neardup")
-    signed = scratch.table(docs.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
-    columns = ["n_shingles", *[f"s{i}" for i in range(LONGS)]]
-    classes = signed.where("n_shingles > 0").groupBy("key").agg(*[F.first(c).alias(c) for c in [*columns, "bands"]])
+def grouped(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, rid, n_shingles, label) of each row of docs: rows of one component, and no others, share a label."""
+    signed = scratch.table(docs.select("doc_id", row_digest().alias("rid"), "text").mapInArrow(sign, SIGNED), "signed")
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.first(F.struct("rid", *SIGNATURE, "bands")).alias("x")).select("key", "x.*")
     classes = scratch.table(classes, "classes")
+
     rows = classes.select("key", F.explode(F.array_distinct("bands")).alias("band"))
     sizes = rows.groupBy(F.col("band").alias("in_band")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.table(rows.join(sizes, F.col("band") == F.col("in_band")).select("band", "key", "size"), "members")
     weight = members.groupBy(F.col("key").alias("m")).agg(F.sum("size").alias("weight"))
-    central = members.join(weight, F.col("key") == F.col("m")).groupBy(F.col("band").alias("in_band")).agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
-    sig = scratch.table(classes.select("key", *columns).join(weight, F.col("key") == F.col("m"), "left_semi"), "sig")
+    weighted = members.join(weight, F.col("key") == F.col("m"))
+    central = weighted.groupBy(F.col("band").alias("in_band")).agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
     stars = members.join(central, F.col("band") == F.col("in_band")).where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(sig.alias("x"), F.col("a") == F.col("x.key")).join(sig.alias("y"), F.col("b") == F.col("y.key"))
-    stars = scratch.table(stars.where(hopeful("x", "y", percent)).select("a", "b", differing("x", "y").alias("apart")), "stars")
-    texts = fetch(docs, weight.select(F.col("m").alias("want")), scratch)
-
-    def labelled(df: DataFrame, labels: DataFrame, side: str) -> DataFrame:
-        labels = labels.select(F.col("node").alias("at"), F.col("label").alias(f"l{side}"))
-        df = df.join(labels, F.col(side) == F.col("at"), "left").drop("at")
-        return df.withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-
-    nearest = stars.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
-    links = confirm(nearest, texts, percent, scratch, "star")
-    first = scratch.table(components(links, scratch, "c"), "first")
-    others = stars.join(nearest, ["a", "b"], "left_anti")
-    others = labelled(labelled(others, first, "a"), first, "b").where("la <> lb")
-    links = scratch.table(links.union(confirm(others, texts, percent, scratch, "others")).distinct(), "links")
-    first = scratch.table(components(links, scratch, "d"), "second")
-
-    of = labelled(members.withColumnRenamed("key", "a"), first, "a").select("band", F.col("a").alias("key"), F.col("la").alias("label"), "size")
-    mixed = of.groupBy(F.col("band").alias("in_band")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    of = scratch.table(of.join(mixed, F.col("band") == F.col("in_band"), "left_semi"), "mixed")
-    bucket = of.where(F.col("size") <= split).join(sig.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
-    a, b = bucket.alias("a"), bucket.alias("b")
-    small = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label")) & hopeful("a", "b", percent))
-    small = small.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
-    crowded = of.where(F.col("size") > split).select(F.col("key").alias("k"), "label").distinct()
-    sets = texts.join(crowded, F.col("key") == F.col("k")).select("key", "label", "text").mapInArrow(listed, "key binary, label binary, shingles array<long>")
-    large = prefix_pairs(scratch.table(sets, "sets"), percent, scratch)
-    more = confirm(small.union(large).distinct(), texts, percent, scratch, "more")
-    every = links.union(more).distinct()
-
-    final = scratch.table(components(every, scratch, "e"), "third")
-    degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("n_links"))
-    final = scratch.table(final.join(degree, F.col("node") == F.col("n"), "left").drop("n"), "final")
-
-    out = signed.select("doc_id", "key", "n_shingles").join(final, F.col("key") == F.col("node"), "left")
-    out = scratch.table(out.select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "out")
-    ids = out.where("n_shingles > 0").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("least"))
-    out = out.join(ids, (F.col("label") == F.col("l")) & (F.col("n_shingles") > 0), "left")
+    sig = classes.select("key", *SIGNATURE)
+    nearest = estimated(stars, sig, percent).groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    nearest = scratch.table(nearest, "nearest")
+
+    wanted = members.select("key").distinct().join(classes.select(F.col("key").alias("k"), F.col("rid").alias("r")), F.col("key") == F.col("k")).select("key", "r")
+    texts = docs.select(row_digest().alias("rid"), "text").join(wanted, F.col("rid") == F.col("r")).select("key", "text").dropDuplicates(["key"])
+    texts = scratch.table(texts, "texts")
+    links = confirmed(nearest, texts, percent, scratch, "links")
+    labels = scratch.table(components(links, scratch, "c"), "labels")
+
+    of = members.join(labels, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    mixed = of.groupBy(F.col("band").alias("in_band")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("in_band")
+    crowd = of.join(mixed, F.col("band") == F.col("in_band"), "left_semi").select(F.col("key").alias("k"), "label").distinct()
+    sets = texts.join(crowd, F.col("key") == F.col("k")).select("key", "label", "text").mapInArrow(listed, "key binary, label binary, shingles array<long>")
+    pairs = estimated(prefix_pairs(scratch.table(sets, "sets"), percent, scratch), sig, percent)
+    more = confirmed(scratch.table(pairs, "pairs"), texts, percent, scratch, "more")
+    scratch.drop("members", "sets", "prefixes", "pairs", "texts", "classes")
+
+    # The first links joined whole components: their labels stand for them.
+    joins = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joins = components(joins.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), scratch, "d").select(F.col("node").alias("was"), F.col("label").alias("now"))
+    out = signed.join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    out = out.join(joins, F.col("label") == F.col("was"), "left")
+    return scratch.table(out.select("doc_id", "rid", "n_shingles", F.coalesce("now", "label").alias("label")), "grouped")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
+    rows = grouped(docs, percent, Scratch(docs.sparkSession, "neardup"))
+    one = rows.where("n_shingles > 0").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("least"), F.min("rid").alias("first"))
+    rows = rows.join(one, (F.col("label") == F.col("l")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "n_links")
+    kept = F.when(component.isNull(), F.coalesce(F.col("rid") == F.col("first"), F.lit(True))).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs whose document near_duplicates() keeps, all columns; of rows repeated whole (id and text) one stays."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One row of docs of each component, all columns: of its rows of least doc_id (null: last) that of the least digest.
+    Rows without words are no duplicates of each other, but of rows that agree in doc_id and text one stays."""
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows = grouped(docs, percent, scratch)
+    own = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("rid"))
+    kept = rows.groupBy(own).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("x"))
+    kept = scratch.table(kept.select(F.col("x.rid").alias("_kept_row")), "kept")
+    names = docs.columns
+    whole = docs.select(row_digest().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"))
+    whole = whole.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").dropDuplicates(["_row"])
+    return whole.select(*[F.col(f"_all.`{c}`").alias(c) for c in names])
