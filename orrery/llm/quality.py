@@ -1,10 +1,11 @@
 """Quality rules: base counters, and the perplexity of a modified Kneser-Ney n-gram model of UTF-8 bytes.
 
-Spark counts the n-grams of every text of every document, per language, and derives continuation counts, discounts,
-probabilities and back-off weights with joins and aggregates. No n-gram is dropped and none can take another's place: a key
-is the gram's bytes and its language's number, mixed by a function that is one to one on 64 bits. A model of at most
-`limit` entries is broadcast, as a sorted array of keys for each order beside arrays of log probabilities and back-off
-weights; a larger one stays a table, and each distinct gram of the texts finds its cost by joins.
+Spark counts the n-grams of every text of every document, per language. Continuation counts, discounts, probabilities and
+back-off weights follow from the different n-grams alone. No n-gram is dropped and none can take another's place: a key is
+the gram's bytes and its language's number, mixed by a function that is one to one on 64 bits. Where at most `limit`
+different grams were counted, the driver makes the model of their sorted array and broadcasts it, as a sorted array of keys
+for each order beside arrays of log probabilities and back-off weights; a larger model is made by joins and aggregates and
+stays a table, and each different gram of the texts finds its cost by joins. Both give equal results.
 
 Each language gets bounds on bits per byte from the quartiles of its own texts, over all rows, each different text once (so
 that a crowd of copies does not close the band): a text outside
@@ -18,13 +19,14 @@ further columns of the input are ignored whatever their names.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import HashArray, Scratch, mix, offsets, pieces, small_batches, sums, texts_of, utf8
@@ -37,7 +39,7 @@ SPACE[[0x20, *range(9, 14)]] = True
 NO_LANGUAGE = "\x00none"
 #: Quartile ranges from a quartile to its bound, and bits added to the range, for languages of few or like texts.
 WIDTH, FLOOR = 3.0, 0.01
-#: Entries of all orders up to which a model is broadcast; a Python worker holds about 24 bytes for each.
+#: Different grams up to which a model is made at the driver and broadcast; a Python worker holds about 40 bytes for each.
 LIMIT = 4_000_000
 
 
@@ -127,11 +129,14 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def model_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(order, lang, gram, logp, logb, n): log2 probability of a gram's last byte, log2 back-off weight of the gram as a context."""
+def counted_grams(docs: DataFrame, scratch: Scratch) -> DataFrame:
     counted = docs.select(F.col("text"), F.col("lang")).mapInArrow(count_grams, "lang string, gram long, n long")
-    table = scratch.table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    levels = {ORDER: table}
+    return scratch.table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def model_table(counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(order, lang, gram, logp, logb, n): log2 probability of a gram's last byte, log2 back-off weight of the gram as a context."""
+    levels = {ORDER: counted}
     for k in range(ORDER - 1, 0, -1):
         below = levels[k + 1].withColumn("gram", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)))
         levels[k] = below.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -171,34 +176,54 @@ def model_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return table
 
 
-def fit(docs: DataFrame, hash_bits: int = 64, limit: int = LIMIT) -> dict:
-    """The model as {"langs": numbers of languages, "orders": {k: (sorted keys, logp, logb)}}, or as {"table"} where it has
-    more than limit entries. hash_bits stays for callers and changes nothing: keys are whole."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "quality")
-    table = scratch.table(model_table(docs, scratch).withColumn("logb", F.coalesce("logb", F.lit(0.0))).drop("n"), "model")
-    for name in ("grams", *(f"p{k}" for k in range(1, ORDER + 1))):
-        scratch.drop(name)
-    if table.count() > limit:
+def levels_of(grams: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One language's model from its sorted grams of ORDER bytes and their counts: {order: (grams, logp, logb)}, as model_table()."""
+    counts = {ORDER: (grams, n)}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = np.unique(counts[k + 1][0] & np.uint64((1 << 8 * k) - 1), return_counts=True)
+    out, lower = {0: (np.zeros(1, np.uint64), np.array([-8.0]), np.zeros(1))}, np.array([1 / 256])
+    for k in range(1, ORDER + 1):
+        gram, n = counts[k]
+        c = [int((n == i).sum()) for i in (1, 2, 3, 4)]
+        y = c[0] / max(c[0] + 2 * c[1], 1)
+        off = [min(float(i), max(0.1, i - (i + 1) * y * c[i] / max(c[i - 1], 1))) if c[i - 1] else 0.5 for i in (1, 2, 3)]
+        off = np.array(off)[np.minimum(n, 3) - 1]
+        context, first = np.unique(gram >> np.uint64(8), return_index=True)
+        total, held = np.add.reduceat(n.astype(float), first), np.add.reduceat(off, first)
+        gamma = held / total
+        of = np.repeat(np.arange(len(context)), np.diff(np.r_[first, len(gram)]))
+        suffix = np.searchsorted(out[k - 1][0], gram & np.uint64((1 << 8 * (k - 1)) - 1))
+        p = (n - off) / total[of] + gamma[of] * lower[suffix]
+        at = np.minimum(np.searchsorted(context, out[k - 1][0]), len(context) - 1)
+        out[k - 1][2][:] = np.where(context[at] == out[k - 1][0], np.log2(gamma[at]), 0.0)
+        out[k], lower = (gram, np.log2(p), np.zeros(len(gram))), p
+    return out
+
+
+def fit(docs: DataFrame, limit: int = LIMIT) -> dict:
+    """The model as {"langs": numbers of languages, "orders": {k: (sorted keys, logp, logb)}}, or as {"table"} where more
+    than limit different grams were counted: then it is built and used by joins alone."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    counted = counted_grams(docs, scratch)
+    if counted.count() > limit:
+        table = scratch.table(model_table(counted, scratch).withColumn("logb", F.coalesce("logb", F.lit(0.0))).drop("n"), "model")
+        scratch.drop("grams", *(f"p{k}" for k in range(1, ORDER + 1)))
         return {"table": table}
-    langs = {r["lang"]: i for i, r in enumerate(table.where("order = 0").select("lang").collect())}
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            numbers = np.array([langs[x] for x in b.column(0).to_pylist()], np.uint64)
-            yield pa.record_batch([b.column(1), pa.array(keys(numbers, b.column(2).to_numpy()).view(np.int64)), *b.columns[3:]], ["order", "key", "logp", "logb"])
-
-    table = table.select("lang", "order", "gram", F.col("logp").cast("float"), F.col("logb").cast("float"))
-    got = table.mapInArrow(keyed, "order int, key long, logp float, logb float").toArrow()
-    order, found, logp, logb = (got.column(c).to_numpy() for c in ("order", "key", "logp", "logb"))
-    found = found.view(np.uint64)
+    got = counted.toArrow()
+    scratch.drop("grams")
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    lang, gram, n = names.indices.to_numpy(), got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    langs = {x: i for i, x in enumerate(names.dictionary.to_pylist())}
+    by = np.lexsort((gram, lang))
+    lang, gram, n = lang[by], gram[by], n[by]
+    ends = np.searchsorted(lang, np.arange(len(langs) + 1))
+    models = [levels_of(gram[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     orders = {}
     for k in range(ORDER + 1):
-        mine = np.flatnonzero(order == k)
-        mine = mine[np.argsort(found[mine])]
-        orders[k] = (found[mine], logp[mine], logb[mine])
-    scratch.drop("model")
+        found = np.concatenate([keys(np.uint64(i), m[k][0]) for i, m in enumerate(models)] or [np.zeros(0, np.uint64)])
+        by = np.argsort(found)
+        logp, logb = (np.concatenate([m[k][j] for m in models] or [np.zeros(0)]).astype(np.float32)[by] for j in (1, 2))
+        orders[k] = (found[by], logp, logb)
     return {"langs": langs, "orders": orders}
 
 
@@ -265,85 +290,72 @@ def joined_bits(docs: DataFrame, table: DataFrame) -> DataFrame:
 COUNTERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scorer_on(model) -> Callable[[], Scorer]:
-    made: list[Scorer] = []
-
-    def get() -> Scorer:
-        if not made:
-            made.append(Scorer(model.value))
-        return made[0]
-
-    return get
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang, counters, base_failed, bits) of each row."""
+def score(docs: DataFrame, model: dict, columns: list[str], scratch: Scratch) -> DataFrame:
+    """Columns of docs, then _lang, _base_failed, _bits and the counters, of each row; written once, so that the model's broadcast can go."""
     joined = "table" in model
     shared = None if joined else docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"), F.col("lang").alias("_lang"), *([F.sha2("text", 256).alias("_digest")] if joined else []))
+    width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if joined else Scorer(shared.value)
         for batch in batches:
-            for part in pieces(batch, 1):
-                c = counters(part.column(1))
-                last = part.column(3) if joined else pa.array(scorer.bits_of(part.column(1), part.column(2).to_pylist()), from_pandas=True)
-                yield pa.record_batch([part.column(0), part.column(2), *[pa.array(c[n], pa.int64()) for n in COUNTERS], pa.array(base_failed(c)), last], ["doc_id", "lang", *COUNTERS, "base_failed", "digest" if joined else "bits"])
-
-    names = "doc_id long, lang string, " + ", ".join(f"{n} long" for n in COUNTERS) + ", base_failed boolean, "
-    if not joined:
-        return docs.select("doc_id", "text", "lang").mapInArrow(run, names + "bits double")
-    rows = docs.select("doc_id", "text", "lang", F.sha2("text", 256).alias("digest")).mapInArrow(run, names + "digest string")
-    same = (F.col("digest") == F.col("bits_digest")) & (F.coalesce("lang", F.lit(NO_LANGUAGE)) == F.col("bits_lang"))
-    return rows.join(joined_bits(docs, model["table"]), same, "left").drop("bits_digest", "bits_lang")
+            for part in pieces(batch, width):
+                texts, langs = part.column(width), part.column(width + 1)
+                c = counters(texts)
+                last = part.column(width + 2) if joined else pa.array(scorer.bits_of(texts, langs.to_pylist()), from_pandas=True)
+                made = [langs, pa.array(base_failed(c)), *[pa.array(c[n], pa.int64()) for n in COUNTERS], last]
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], [f"c{i}" for i in range(width + len(made))])
+
+    last = "_digest string" if joined else "_bits double"
+    made = StructType.fromDDL(", ".join(["_lang string", "_base_failed boolean", *[f"_{n} long" for n in COUNTERS], last]))
+    kinds = [docs.schema[c].dataType for c in columns]
+    fields = StructType([StructField(f"c{i}", kind) for i, kind in enumerate([*kinds, *[f.dataType for f in made]])])
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate([*columns, *made.names])]
+    scored = rows.mapInArrow(run, fields).select(*named)
+    if joined:
+        same = (F.col("_digest") == F.col("bits_digest")) & (F.coalesce("_lang", F.lit(NO_LANGUAGE)) == F.col("bits_lang"))
+        scored = scored.join(joined_bits(docs, model["table"]), same, "left").drop("bits_digest", "bits_lang", "_digest").withColumnRenamed("bits", "_bits")
+    scored = scratch.table(scored, "scored")
+    if shared:
+        shared.destroy()
+    return scored
 
 
 def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
     """(band_lang, low, high): bounds on bits from the quartiles, to 1/1000 bit, of the different texts that the base rules keep."""
-    step = F.floor(F.col("bits") * 1000).cast("long")
-    texts = scored.where(~F.col("base_failed") & F.col("bits").isNotNull()).select("lang", F.round("bits", 6).alias("bits"), *COUNTERS).distinct()
-    bins = texts.groupBy("lang", step.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang").orderBy("bin")
-    total = F.sum("n").over(Window.partitionBy("lang"))
+    step = F.floor(F.col("_bits") * 1000).cast("long")
+    texts = scored.where(~F.col("_base_failed") & F.col("_bits").isNotNull()).select("_lang", F.round("_bits", 6).alias("_bits"), *[f"_{n}" for n in COUNTERS]).distinct()
+    bins = texts.groupBy("_lang", step.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("_lang").orderBy("bin")
+    total = F.sum("n").over(Window.partitionBy("_lang"))
     bins = bins.withColumn("upto", F.sum("n").over(w)).withColumn("total", total)
     at = lambda q: (F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin"))) / 1000)
-    q = bins.groupBy("lang").agg(at(1).alias("q1"), at(3).alias("q3"))
+    q = bins.groupBy("_lang").agg(at(1).alias("q1"), at(3).alias("q3"))
     reach = (F.col("q3") - F.col("q1") + floor) * width
-    return q.select(F.col("lang").alias("band_lang"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    return q.select(F.col("_lang").alias("band_lang"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
 
-def judge(scored: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds low, high and kept. A language without bounds (all its documents failed) has nothing to keep."""
-    inside = F.col("bits").between(F.col("low"), F.col("high"))
-    joined = scored.join(bounds, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
-    return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
+def judged(docs: DataFrame, columns: list[str], width: float, floor: float, limit: int) -> DataFrame:
+    """Columns of docs, the columns of score(), low, high and _kept. A language without bounds (all its documents failed) keeps nothing."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "quality")
+    scored = score(docs, fit(docs, limit), columns, scratch)
+    bounds = scratch.table(bands(scored, width, floor), "bounds")
+    inside = F.col("_bits").between(F.col("low"), F.col("high"))
+    joined = scored.join(bounds, F.col("_lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
+    return joined.withColumn("_kept", F.coalesce(~F.col("_base_failed") & inside, F.lit(False)))
 
 
-def quality(docs: DataFrame, hash_bits: int = 64, width: float = WIDTH, floor: float = FLOOR, limit: int = LIMIT) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang): counters, base_failed, bits per byte, its language's bounds, kept."""
-    model = fit(docs, hash_bits, limit)
-    scored = Scratch(docs.sparkSession, "quality").table(score(docs, model), "scored")
-    return judge(scored, bands(scored, width, floor)).drop("digest")
+def quality(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR, limit: int = LIMIT) -> DataFrame:
+    """One row per row of docs (doc_id, text, lang): doc_id, lang, counters, base_failed, bits per byte, its language's bounds, kept."""
+    rows = judged(docs, ["doc_id"], width, floor, limit)
+    return rows.select("doc_id", *[F.col(f"_{n}").alias(n) for n in ("lang", *COUNTERS, "base_failed", "bits")], "low", "high", F.col("_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, hash_bits: int = 64, width: float = WIDTH, floor: float = FLOOR, limit: int = LIMIT) -> DataFrame:
+def keep_good(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR, limit: int = LIMIT) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
-    model = fit(docs, hash_bits, limit)
-    scored = Scratch(docs.sparkSession, "quality").table(score(docs, model), "scored")
-    if "table" in model:
-        good = judge(scored, bands(scored, width, floor)).where("kept").select(F.col("digest").alias("good_digest"), F.col("lang").alias("good_lang")).distinct()
-        return docs.join(good, (F.sha2(docs["text"], 256) == good["good_digest"]) & docs["lang"].eqNullSafe(good["good_lang"]), "left_semi")
-    limits = {r["band_lang"]: (r["low"], r["high"]) for r in bands(scored, width, floor).toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast((model, limits))
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, limit = Scorer(shared.value[0]), shared.value[1]
-        for batch in batches:
-            for part in pieces(batch, text):
-                langs = part.column(lang).to_pylist()
-                bits = scorer.bits_of(part.column(text), langs)
-                low, high = (np.array([limit.get(x, (np.inf, -np.inf))[i] for x in langs]) for i in (0, 1))
-                kept = ~base_failed(counters(part.column(text))) & (bits >= low) & (bits <= high)
-                yield part.filter(pa.array(kept))
-
-    return docs.mapInArrow(run, docs.schema)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)], "text", "lang")
+    rows = judged(named, named.columns[:-2], width, floor, limit).where("_kept")
+    return rows.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])
