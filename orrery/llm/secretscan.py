@@ -15,8 +15,7 @@ empty table gives no rows; further columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,21 +63,20 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratios, random against ordinary, of each pair of ALPHABET characters (a digit's pairs are pooled)."""
+    """Log-likelihood ratios, random against ordinary, of each pair of ALPHABET characters, row by row."""
     size = len(ALPHABET)
     place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = labelled.where("text is not null and label is not null").select("label", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1)))).alias("i"))
     pairs = pairs.select("label", F.expr("substring(text, i, 1)").alias("x"), F.expr("substring(text, i + 1, 1)").alias("y"))
     pairs = pairs.select("label", place(F.col("x")).alias("a"), place(F.col("y")).alias("b")).where("a >= 0 and b >= 0")
     count = {(r["label"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    def logp(label: int, a: int, b: int) -> float:
-        total = sum(count.get((label, a, y), 0) for y in range(size))
-        every = sum(count.get((label, x, b), 0) for x in range(size))
-        n = sum(v for (k, _, _), v in count.items() if k == label)
-        prior = (every + 0.5) / (n + 0.5 * size)
-        return math.log((count.get((label, a, b), 0) + 5 * prior) / (total + 5))
-
-    return [round(logp(1, a, b) - logp(0, a, b), 6) for a in range(size) for b in range(size)]
+    table = np.zeros((2, size, size))
+    for (label, a, b), n in count.items():
+        if label in (0, 1):
+            table[label, a, b] = n
+    prior = (table.sum(axis=1) + 0.5) / (table.sum(axis=(1, 2))[:, None] + 0.5 * size)
+    logp = np.log((table + 5 * prior[:, None, :]) / (table.sum(axis=2)[:, :, None] + 5))
+    return np.round(logp[1] - logp[0], 6).ravel().tolist()
 
 
 def found(text: Column, pattern: str, kind: str, group_from: int = 0) -> Column:
