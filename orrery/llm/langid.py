@@ -8,8 +8,9 @@ frozen statistics). A text's language is the one with the fewest bits over the w
 As statistics are frozen, the cost of a byte depends on the ORDER bytes before it. The costs under all languages of every
 byte string that any of them knows stand in one table, so a position takes one lookup; strings that none knows climb down.
 
-The models are fitted on a bounded sample of labelled rows: for each language the `sample_docs` documents of least
-md5(doc_id), of each at most `sample_chars` characters. Everything else covers whole texts of all rows.
+The models are fitted on a bounded sample of labelled rows: for each language the `sample_docs` rows of least md5(doc_id),
+whole texts. Prediction covers whole texts of all rows. The score is the winner's share of 2 ** -bits, for an excerpt of
+`EXCERPT` bytes of the text's mean costs: near 1 where languages are far apart, near 1 / languages where a text fits all alike.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; languages tie by name; without learned languages
 every text is `und`; repeated rows stay repeated; an empty table gives no rows; further columns are ignored.
@@ -29,6 +30,7 @@ from pyspark.sql.window import Window
 from .common import HashArray, mix, pieces, small_batches, sums, texts_of, utf8
 
 ORDER = 3
+EXCERPT = 8
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -44,18 +46,29 @@ def packed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out[where]
 
 
-def tree(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
-    """For each order k: sorted strings of k + 1 bytes with counts, sorted contexts of k bytes with totals and distinct bytes."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    grams = packed(data, np.cumsum([0, *map(len, texts)]))
+def tree(strings: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """From counts of strings of ORDER + 1 bytes, for each order k: sorted strings of k + 1 bytes with counts, sorted contexts
+    of k bytes with totals and distinct bytes."""
     out = []
     for k in range(ORDER + 1):
-        keys, n = np.unique(grams & np.uint32((1 << 8 * (k + 1)) - 1), return_counts=True)
+        keys, at = np.unique(strings & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(at, n, minlength=len(keys)).astype(np.int64)
         context, first = np.unique(keys >> np.uint32(8), return_index=True)
-        out.append((keys, n, context, np.add.reduceat(n, first) if len(n) else n, np.diff(np.r_[first, len(keys)])))
+        out.append((keys, count, context, np.add.reduceat(count, first) if len(count) else count, np.diff(np.r_[first, len(keys)])))
     return out
 
 
+def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, string, n) of whole texts: the ORDER + 1 bytes that end at each byte."""
+    for batch in batches:
+        for part in pieces(batch, 1):
+            data, at = utf8(part.column(1))
+            langs = part.column(0).dictionary_encode()
+            owner = np.repeat(langs.indices.to_numpy().astype(np.uint64), np.diff(at))
+            both, n = np.unique(owner << np.uint64(32) | packed(data, at), return_counts=True)
+            yield pa.record_batch([langs.dictionary.take(pa.array((both >> np.uint64(32)).astype(np.int64))), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["lang", "string", "n"])
+
+
 def look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
@@ -78,9 +91,9 @@ def cost(model: list[tuple[np.ndarray, ...]], strings: np.ndarray, order: int) -
     return out
 
 
-def table(texts: dict[str, list[bytes]]) -> dict:
+def table(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
     """Languages in order of name, and for each order the known strings with their costs (strings, languages)."""
-    models = {lang: tree(texts[lang]) for lang in sorted(texts)}
+    models = {lang: tree(*counts[lang]) for lang in sorted(counts)}
     orders = []
     for k in range(ORDER + 1):
         keys = np.unique(np.concatenate([m[k][0] for m in models.values()])) if models else np.zeros(0, np.uint32)
@@ -129,22 +142,26 @@ class Predictor:
         return np.stack([sums(costs[:, j].astype(np.float64), at) for j in range(len(self.languages))], axis=1) if self.languages else np.zeros((len(texts), 0))
 
 
-def fit(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 20_000) -> dict:
-    """The model of the labelled rows (doc_id, text, lang): rows without text or language teach nothing."""
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null")
+def fit(docs: DataFrame, sample_docs: int = 400) -> dict:
+    """The model of the labelled rows (doc_id, text, lang): rows without text or language teach nothing.
+
+    Learns from at most sample_docs different rows a language, whole texts; Spark counts their strings, and only counts
+    come to the driver."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text", "lang").where("text != '' and lang is not null and doc_id is not null").withColumn("hash", F.xxhash64("text"))
     digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(digest, "doc_id"))).where(F.col("n") <= sample_docs)
-    ids = F.broadcast(ids.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")))
-    sample = rows.join(ids, (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
-    texts: dict[str, list[bytes]] = {}
-    for r in sample.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id").toLocalIterator():
-        if r["text"]:
-            texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return table(texts)
+    ids = rows.select("doc_id", "lang", "hash").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(digest, "doc_id", "hash"))).where(F.col("n") <= sample_docs)
+    ids = ids.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("hash").alias("h")).distinct()
+    sample = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("hash") == F.col("h")), "left_semi")
+    sample = sample.dropDuplicates(["doc_id", "lang", "hash"]).select("lang", "text")  # a row that repeats teaches once
+    got = sample.mapInArrow(count_strings, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n")).toArrow()
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    lang, string, n = names.indices.to_numpy(), got.column("string").to_numpy().astype(np.uint32), got.column("n").to_numpy()
+    return table({x: (string[lang == i], n[lang == i]) for i, x in enumerate(names.dictionary.to_pylist())})
 
 
 def predict(docs: DataFrame, model: dict, extra: list[Column] | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, lang_pred, score (the winner's share of 2 ** -bits), bits_per_byte."""
+    """One row per row of docs (doc_id, text): doc_id, lang_pred, score, bits_per_byte."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -159,7 +176,8 @@ def predict(docs: DataFrame, model: dict, extra: list[Column] | None = None) ->
                 if predictor.languages:
                     best = bits.argmin(axis=1)
                     low = bits[np.arange(len(bits)), best]
-                    score = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+                    share = EXCERPT / np.maximum(np.diff(utf8(texts)[1]), EXCERPT)
+                    score = 1 / np.exp2(np.maximum((low[:, None] - bits) * share[:, None], -1000)).sum(axis=1)
                 else:
                     best, low, score, letters = np.zeros(len(bits), int), np.zeros(len(bits)), np.zeros(len(bits)), letters & False
                 best = np.where(letters, best, len(names) - 1)
@@ -174,7 +192,7 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)), F.lit(-1))
 
 
-def identify(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = 400) -> DataFrame:
     """Learns from the rows whose fold is not 2 and predicts all: doc_id, held_out, lang_pred, score, bits_per_byte."""
-    model = fit(docs.where(fold(F.col("doc_id")) != 2), sample_docs, sample_chars)
+    model = fit(docs.where(fold(F.col("doc_id")) != 2), sample_docs)
     return predict(docs, model).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
