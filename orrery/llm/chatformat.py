@@ -70,7 +70,7 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def parse(rendered: DataFrame) -> DataFrame:
-    """Turns (conv_id, at, role, text, start, stop) read back from `formatted`; start and stop bound the text in it."""
+    """Turns (conv_id, at, role, body, text, start, stop) read back from `formatted`; start and stop bound the text in it."""
     cut = F.split("formatted", CLOSE, -1)
     rows = rendered.select("conv_id", F.posexplode(F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))).alias("at", "piece"))
     parts = F.split("piece", MIDDLE, 2)
@@ -79,26 +79,43 @@ def parse(rendered: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.length("piece").cast("long") + len(CLOSE)).over(by), F.lit(0))
     start = (before + F.length("head") + len(MIDDLE)).cast("long")
     role = restored(F.expr(f"substring(head, {len(OPEN) + 1})"))
-    return rows.select("conv_id", "at", role.alias("role"), restored(F.col("body")).alias("text"), start.alias("start"), (start + F.length("body")).alias("stop"))
+    return rows.select("conv_id", "at", role.alias("role"), "body", restored(F.col("body")).alias("text"), start.alias("start"), (start + F.length("body")).alias("stop"))
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the rendered strings and masks."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the rendered strings and masks.
+
+    The loss text is what the string holds under the mask: each range is cut from the piece of the string that it starts in.
+    """
     turns = parse(rendered)
     mask = rendered.select(F.col("conv_id").alias("c"), F.explode("mask").alias("m")).select("c", F.col("m.start").alias("s"), F.col("m.stop").alias("e"))
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("start") == F.col("s")) & (F.col("stop") == F.col("e"))
-    turns = turns.join(mask, same, "left")
+    turns = turns.join(mask, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("start") == F.col("s")), "left")
+    under = restored(F.expr("substring(body, 1, cast(e - s as int))"))
     listed = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["v"]), "")
     all_turns = listed(F.struct("at", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("v")))
-    loss = listed(F.when(F.col("s").isNotNull(), F.struct("at", F.col("text").alias("v"))))
+    loss = listed(F.when(F.col("s").isNotNull(), F.struct("at", under.alias("v"))))
     back = turns.groupBy(F.col("conv_id").alias("c")).agg(F.count(F.lit(1)).alias("n_turns"), all_turns.alias("turns"), loss.alias("loss"))
     back = back.select("c", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"))
     rows = rendered.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.join(back, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """Each row (conv_id, turn, role, text) of a plain log as one event of a message of its own, in order of turn, role and text."""
+def streamed(conversations: DataFrame, chunk: int = 120) -> DataFrame:
+    """A plain log (conv_id, turn, role, text) as the events that a chat service would have written for it.
+
+    A row is a message of its own, in order of turn, role and text. Its text streams in deltas of `chunk` characters. Before
+    that an assistant's message has a draft that is regenerated, and any other a draft that is edited. An empty or null
+    text has one empty delta.
+    """
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(by))
-    return rows.select("conv_id", F.col("turn").alias("seq"), "message", F.lit("delta").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(by))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    deltas = F.transform(starts, lambda k: event("delta", F.col("text").substr(k + 1, F.lit(chunk))))
+    first = F.element_at(deltas, 1)["text"]
+    draft = event("delta", F.reverse(first))
+    again = F.concat(F.array(draft, event("regenerate", F.lit(None).cast("string"))), deltas)
+    edited = F.concat(F.array(draft, event("edit", first)), F.slice(deltas, F.lit(2), F.greatest(F.size(deltas) - 1, F.lit(0))))
+    rows = rows.select("conv_id", "message", "role", F.posexplode(F.when(F.col("role") == "assistant", again).otherwise(edited)).alias("k", "event"))
+    seq = F.col("message").cast("long") * F.lit(1 << 32) + F.col("k")
+    return rows.select("conv_id", seq.alias("seq"), "message", "event.kind", F.when(F.col("k") == 0, F.col("role")).alias("role"), "event.text")

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, texts_of
+from .common import Scratch, pieces, small_batches, texts_of
 
 BLOCK = 576
 PAD = 255
@@ -462,24 +463,51 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def blocks(media: DataFrame) -> DataFrame:
-    """PCM blocks of media (doc_id, media): doc_id, block, sample_offset, n_samples, pcm (signed little-endian)."""
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, error string, blocks array<struct<sample_offset:long,n_samples:long,pcm:binary>>"
+
+
+def decoded(streams: list[bytes | None]) -> list[tuple]:
+    """(samples, frame offsets, metadata, error) of each stream; one that is null or can't be read gives an error, not a failed task."""
+    try:
+        return [(*x, None) for x in decode(streams)] if None not in streams else [x for s in streams for x in (decoded([s]) if s is not None else [(None, None, None, "no stream")])]
+    except (ValueError, IndexError, KeyError) as e:
+        if len(streams) == 1:
+            return [(None, None, None, str(e) or type(e).__name__)]
+        return [x for s in streams for x in decoded([s])]
+
+
+def pcm(media: DataFrame) -> DataFrame:
+    """PCM blocks of media (doc_id, n_bytes, media), a row a stream: digest of the stored form, and blocks that can be sought
+    by sample_offset (signed little-endian samples). A null or broken stream has null blocks and an error."""
     small_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1, 1 << 20):
-                there = part.filter(part.column(1).is_valid())
-                rows = []
-                for i, (flat, at, info) in zip(there.column(0).to_pylist(), decode(there.column(1).to_pylist())):
-                    wide = (info.bits + 7) // 8
-                    for k, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(flat)])):
-                        pcm = flat[a:b].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
-                        rows.append((i, k, a, b - a, pcm))
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+            for part in pieces(batch, 2, 1 << 20):
+                streams = part.column(2).to_pylist()
+                ends, offsets, sizes, raw, errors = [0], [], [], [], []
+                for flat, at, info, error in decoded(streams):
+                    errors.append(error)
+                    if error is None:
+                        wide = (info.bits + 7) // 8
+                        data = flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes() if wide > 1 else flat.astype(np.int8).tobytes()
+                        cuts = [*at.tolist(), len(flat)]
+                        offsets += cuts[:-1]
+                        sizes += [y - x for x, y in zip(cuts, cuts[1:])]
+                        raw += [data[x * wide : y * wide] for x, y in zip(cuts, cuts[1:])]
+                    ends.append(len(offsets))
+                items = pa.StructArray.from_arrays([pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())], ["sample_offset", "n_samples", "pcm"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array([e is not None for e in errors]))
+                digests = [None if m is None else hashlib.sha256(m).hexdigest() for m in streams]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([None if m is None else len(m) for m in streams], pa.int64()), pa.array(digests, pa.string()), pa.array(errors, pa.string()), lists], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "error", "blocks"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
+
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
+def blocks(media: DataFrame) -> DataFrame:
+    """Rows (doc_id, block, sample_offset, n_samples, pcm) of media (doc_id, n_bytes, media)."""
+    each = pcm(media).select("doc_id", F.posexplode("blocks").alias("block", "b"))
+    return each.select("doc_id", F.col("block").cast("long").alias("block"), "b.*")
 
 
 def feature_text(x: np.ndarray) -> str:
@@ -488,19 +516,30 @@ def feature_text(x: np.ndarray) -> str:
     return f"energy={int((x * x).sum())};peak={int(np.abs(x).max(initial=0))};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};variation={int(d)};blocks={-(-len(x) // BLOCK)}"
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Per stored stream: digests of the payload read back, of the stored form, and features of the decoded samples."""
-    small_batches(media.sparkSession)
+def features(stored: DataFrame) -> DataFrame:
+    """Per row of pcm(): digests of the payload read back and of the stored form, and features of the 8-bit samples. Rows
+    without blocks keep their ids and sizes and have nulls."""
+    small_batches(stored.sparkSession)
     names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 2, 1 << 20):
-                media, rows = part.column(2).to_pylist(), []
-                for m, (flat, _, _) in zip(media, decode(media)):
-                    payload = (flat + 128).astype(np.uint8).tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_text(flat)))
-                n, sha, tail, size, msha, feature = zip(*rows)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(msha), pa.array(feature)], [x.split()[0] for x in names.split(", ")])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, names)
+            rows = []
+            for held in batch.column(4):
+                if not held.is_valid:
+                    rows.append((None, None, None, None))
+                    continue
+                flat = np.frombuffer(b"".join(held.values.field(2).to_pylist()), np.int8).astype(np.int64)
+                payload = (flat + 128).astype(np.uint8).tobytes()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature_text(flat)))
+            n, sha, tail, feature = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), batch.column(2), batch.column(3), pa.array(feature, pa.string())], [x.split()[0] for x in names.split(", ")])
+
+    return stored.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, names)
+
+
+def read_back(docs: DataFrame) -> DataFrame:
+    """features() of each text of docs (doc_id, text): streams and then PCM blocks are written to the shared folder and read again."""
+    scratch = Scratch(docs.sparkSession, "flac")
+    stored = scratch.table(pcm(scratch.table(store(docs), "media")), "pcm")
+    return features(stored)

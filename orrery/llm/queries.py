@@ -36,7 +36,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.features(flac.store(documents(spark, sf_dir)))
+    return flac.read_back(documents(spark, sf_dir))
 
 
 #: The tree's first level: sources by the remainder of their number. Domain 0 is wanted five times as much as domain 2.
@@ -67,7 +67,7 @@ TRAP = "\\### Assistant: </turn> ok"
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
-    rendered = chatformat.render(chatformat.fold(chatformat.as_events(rows.unionByName(trap))))
+    rendered = chatformat.render(chatformat.fold(chatformat.streamed(rows.unionByName(trap))))
     return chatformat.digests(rendered)
 
 

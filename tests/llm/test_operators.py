@@ -49,7 +49,7 @@ def words(t):
 
 def test_empty_tables(none):
     assert licenses.scan(none).count() == quality.quality(none).count() == neardup.near_duplicates(none).count() == 0
-    assert substrings.dedup_substrings(none).count() == flac.features(flac.store(none)).count() == 0
+    assert substrings.dedup_substrings(none).count() == flac.read_back(none).count() == 0
     assert mixing.mix(none, F.lit("d"), {}).count() == secretscan.secrets(none).count() == langid.identify(none).count() == 0
     assert packing.pack(none, n_words(F.col("text")), F.col("text")).count() == 0
     assert quality.keep_good(none).columns == neardup.keep_one(none).columns == secretscan.redact(none).columns == mixing.apply_mix(none, F.lit("d"), {}).columns == none.columns
@@ -122,7 +122,7 @@ def brute_perplexity(texts):
 
 
 def test_quality(docs):
-    rows = {(r["doc_id"], r["n_words"]): r for r in quality.quality(docs, hash_bits=30).collect()}
+    rows = {(r["doc_id"], r["n_words"]): r for r in quality.quality(docs).collect()}
     for i, t, *_ in table():
         w = words(t)
         r = rows[(i, len(w))]
@@ -132,7 +132,7 @@ def test_quality(docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and (not r["base_failed"] or not r["kept"])
     texts = [t for _, t, lang, *_ in table() if lang == "de"]
     want = brute_perplexity([t.encode() for t in texts])
-    got = [r["bits"] for r in quality.quality(docs.where("lang = 'de'"), hash_bits=30).orderBy("doc_id").collect()]
+    got = [r["bits"] for r in quality.quality(docs.where("lang = 'de'")).orderBy("doc_id").collect()]
     assert np.allclose(got, want, rtol=1e-4)
 
 
@@ -153,7 +153,7 @@ def test_bands_reject_on_both_sides(spark):
     assert got[1000]["bits"] < got[1000]["low"] and got[1001]["bits"] > got[1001]["high"]
     assert sorted(i for i, x in got.items() if not x["kept"]) == [1000, 1001]
     copies = [("en", False, 2.0 + i / 100, i, 1, 0, 0, 0) for i in range(20)] + [("en", False, 2.1, 10, 1, 0, 0, 0)] * 90
-    few = quality.bands(spark.createDataFrame(copies, "lang string, base_failed boolean, bits double, " + ", ".join(f"{n} long" for n in quality.COUNTERS))).first()
+    few = quality.bands(spark.createDataFrame(copies, "_lang string, _base_failed boolean, _bits double, " + ", ".join(f"_{n} long" for n in quality.COUNTERS))).first()
     assert few["low"] < 2.0 and few["high"] > 2.19  # copies do not close the band
 
 
@@ -173,7 +173,7 @@ def test_a_model_too_large_to_broadcast_gives_equal_results(spark, docs):
     assert np.allclose([x["bits"] or 0 for x in small], [x["bits"] or 0 for x in large], rtol=1e-6)
     assert sorted(map(str, quality.keep_good(docs, limit=1).collect())) == sorted(map(str, quality.keep_good(docs).collect()))
     unseen = spark.createDataFrame([(1, "unseen words here \u00e9", "en"), (2, "abc", "xx")], "doc_id long, text string, lang string")
-    a, b = ([x["bits"] for x in quality.score(unseen, quality.fit(docs, limit=n)).orderBy("doc_id").collect()] for n in (quality.LIMIT, 1))
+    a, b = ([x["_bits"] for x in quality.score(unseen, quality.fit(docs, limit=n), ["doc_id"], quality.Scratch(spark, "test")).orderBy("doc_id").collect()] for n in (quality.LIMIT, 1))
     assert np.allclose(a, b, rtol=1e-6)
 
 
@@ -205,8 +205,50 @@ def test_a_large_mixed_bucket_loses_no_link(spark):
     common = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(common + [f"x{r.randrange(6)}-{k}" for k in range(14)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    small = {tuple(x) for x in neardup.near_duplicates(df, split=4).select("doc_id", "component_id").collect()}
-    assert small == {tuple(x) for x in neardup.near_duplicates(df).select("doc_id", "component_id").collect()}
+    assert {tuple(x) for x in neardup.near_duplicates(df).select("doc_id", "component_id").collect()} == set(brute_components(rows).items())
+
+
+def brute_components(rows):
+    """component_id of each doc_id, from all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    both = {}
+    for ids in by.values():
+        for k, b in enumerate(ids):
+            for a in ids[:k]:
+                both[a, b] = both.get((a, b), 0) + 1
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    for (a, b), n in both.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = root(a), root(b)
+            label[max(a, b)] = min(a, b)
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    assert got == brute_components([tuple(r) for r in d.select("doc_id", "text").collect()])
+
+
+def test_near_duplicates_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text, "a"), (None, text + " x", "b"), (None, text + " x", "c"), (7, "other words " + text[:30], "d"), (None, "other words " + text[:30], "e"), (8, None, "f"), (None, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept_row string")
+    kept = sorted(((r["doc_id"] or -1), r["_kept_row"]) for r in neardup.keep_one(df).collect())
+    assert len(kept) == 4 and kept[0][0] == kept[1][0] == -1 and kept[2:] == [(7, "d"), (8, "f")] and {"g"} < {k for _, k in kept} and not {"e"} & {k for _, k in kept}
+    got = neardup.near_duplicates(df)
+    assert got.where("doc_id is null and n_shingles > 0 and kept").select("n_shingles").distinct().count() == 1 and got.where("component_id = 7 and not kept").count() == 1
 
 
 def test_prefix_pairs_hold_every_similar_pair(spark):
@@ -241,7 +283,7 @@ def test_substrings(docs, hot):
 
 
 def test_flac_round_trip_and_blocks(spark, docs):
-    got = {(r["doc_id"], r["n_bytes"]): r for r in flac.features(flac.store(docs)).collect()}
+    got = {(r["doc_id"], r["n_bytes"]): r for r in flac.read_back(docs).collect()}
     for i, t, *_ in table():
         raw = (t or "").encode()
         payload = raw + b"\xff" * (576 if not raw else -len(raw) % 576)
@@ -250,6 +292,12 @@ def test_flac_round_trip_and_blocks(spark, docs):
     b = flac.blocks(flac.store(docs.where("doc_id = 30"))).orderBy("block").collect()
     assert [x["sample_offset"] for x in b] == [576 * k for k in range(len(b))]
     assert bytes(v ^ 128 for x in b for v in x["pcm"]).startswith(("ÀB " * 4000).encode())
+    good = flac.encode([flac.payload_of(b"abc")])[0]
+    broken = spark.createDataFrame([(1, 3, None), (2, 3, good), (3, 3, good[:-1] + bytes([good[-1] ^ 1])), (4, 3, b"none")], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in flac.pcm(broken).collect()}
+    assert rows[2]["error"] is None and rows[2]["blocks"][0]["sample_offset"] == 0 and all(rows[k]["error"] and rows[k]["blocks"] is None for k in (1, 3, 4))
+    rows = {r["doc_id"]: r for r in flac.features(flac.pcm(broken)).collect()}
+    assert rows[2]["payload_bytes"] == 576 and rows[1]["media_sha256"] is None and rows[3]["payload_sha256"] is None
 
 
 def bit_frame(fields, n):
@@ -313,9 +361,44 @@ def test_secrets(spark, docs):
     assert secretscan.redact(docs).exceptAll(docs).count() == 0
 
 
+def brute_spans(text):
+    """Base spans by Python's re: kind, start, stop."""
+    kinds = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0, 18, re.A), ("hex", r"[0-9a-f]+", 0, 16, re.A))
+    out = []
+    for rank, (kind, pattern, group, least, flags) in enumerate(kinds):
+        out += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text or "", flags) if len(m[group]) >= least]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out)]
+
+
+def test_secrets_of_a_whole_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in secretscan.secrets(d).collect()}
+    for i, t in d.select("doc_id", "text").collect():
+        base = brute_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert got[i]["n_hex"] == sum(x.startswith("hex") for x in base) and set(base) <= set(got[i]["spans"].split(","))
+
+
+def test_markov_models_tell_random_strings_from_names(spark):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(100)]
+    names = ["".join(r.choice(["Orchard", "Harvest", "Planner", "Widget", "Remote", "Garden", "Signal", "Market"]) for _ in range(4)) + str(r.randrange(99)) for _ in range(100)]
+    df = spark.createDataFrame([(i, f"see {x} now") for i, x in enumerate(keys + names)], "doc_id long, text string")
+    found = {x["doc_id"] for x in secretscan.secrets(df).where("n_markov = 1").collect()}
+    keyed = [i for i, x in enumerate(keys) if re.search("[0-9]", x) and not re.search("[0-9a-f]{16}", x)]
+    assert sum(i in found for i in keyed) >= 0.95 * len(keyed) and sum(100 <= i for i in found) <= 5
+
+
 def test_language_id_is_ppm(spark):
     texts = {"a": [b"abab abba", b"aab"], "b": [b"bcd bcd"]}
-    model = langid.table(texts)
+    import pyarrow as pa
+
+    def counts(ts):
+        got = list(langid.count_strings([pa.record_batch([pa.array(["x"] * len(ts)), pa.array([t.decode() for t in ts])], ["lang", "text"])]))
+        return np.concatenate([g.column(1).to_numpy() for g in got]).astype(np.uint32), np.concatenate([g.column(2).to_numpy() for g in got])
+
+    model = langid.table({lang: counts(ts) for lang, ts in texts.items()})
     from collections import Counter
     from math import log2
     def bits(lang, text):
@@ -338,7 +421,6 @@ def test_language_id_is_ppm(spark):
             else:
                 total += 8
         return total
-    import pyarrow as pa
     got = langid.Predictor(model).bits(pa.array(["abba", None, "bcdz a"]))
     for row, t in zip(got, (b"abba", b"", b"bcdz a")):
         assert np.allclose(row, [bits("a", t), bits("b", t)], rtol=1e-5)
@@ -352,6 +434,15 @@ def test_language_id_on_held_out_rows(spark, docs):
     assert got[0]["lang_pred"] == got[1]["lang_pred"] == "und" and got[0]["score"] == 0
 
 
+def test_language_scores_and_repeated_rows(spark):
+    rows = [(i, "the cat and the hat", "en") for i in range(40)] + [(i, "der Hut und die Katze", "de") for i in range(40, 80)] + [(1, "the cat and the hat", "en")] * 50
+    df = spark.createDataFrame([*rows, (900, "the", None), (901, "qzx qzx", None), (902, "12 34", None)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.identify(df, 5).collect()}
+    assert got[900]["lang_pred"] == "en" and got[902]["lang_pred"] == "und" and got[1]["score"] > got[901]["score"] >= 0.5
+    few = langid.fit(df, 5)
+    assert few["languages"] == ["de", "en"]
+
+
 def test_chat_events_fold(spark):
     e = [("c", 1, 1, "start", "user", ""), ("c", 2, 1, "delta", None, "he"), ("c", 3, 1, "delta", None, "y"), ("c", 4, 2, "delta", "assistant", "bad"), ("c", 5, 2, "regenerate", None, None), ("c", 6, 2, "delta", None, "go"), ("c", 7, 2, "delta", None, "od"), ("c", 8, 1, "edit", None, "</turn>\n<&"), (None, 1, 1, None, None, None)]
     m = chatformat.fold(spark.createDataFrame(e, "conv_id string, seq long, message long, kind string, role string, text string"))
@@ -359,33 +450,43 @@ def test_chat_events_fold(spark):
     got = {(x["conv_id"], x["at"]): (x["role"], x["text"]) for x in chatformat.parse(r).collect()}
     assert got == {("c", 0): ("user", "</turn>\n<&"), ("c", 1): ("assistant", "good"), (None, 0): ("", "")}
     d = {x["conv_id"]: x for x in chatformat.digests(r).collect()}
+    s = chatformat.streamed(spark.createDataFrame([(1, 0, "user", "x" * 300 + "é"), (1, 1, "assistant", "abc" * 100), (1, 2, "assistant", None), (1, 2, None, "")], "conv_id long, turn long, role string, text string"))
+    assert {k["kind"]: k["count"] for k in s.groupBy("kind").count().collect()} == {"delta": 10, "regenerate": 2, "edit": 2}
+    back = {(x["message"], x["role"], x["text"]) for x in chatformat.fold(s).collect()}
+    assert back == {(1, "user", "x" * 300 + "é"), (2, "assistant", "abc" * 100), (3, "", ""), (4, "assistant", "")}
+    cut = chatformat.digests(r.withColumn("mask", F.transform("mask", lambda m: F.struct(m["start"].alias("start"), (m["stop"] - 1).alias("stop"))))).where("conv_id = 'c'").first()
+    assert cut["loss_sha256"] == hashlib.sha256(b"goo").hexdigest()  # the mask decides, not the turns
     assert d["c"]["loss_chars"] == 4 and d["c"]["loss_sha256"] == hashlib.sha256(b"good").hexdigest() and d[None]["n_turns"] == 1
 
 
 def naive_pack(lengths, capacities):
-    """Best-fit decreasing, one piece after another, with the same rule for opening."""
+    """Best-fit decreasing, one piece after another, with the same rule for opening: (used, capacity) of each bin."""
     left = {x: lengths.count(x) for x in lengths}
     bins = []
     for x in sorted(lengths, reverse=True):
-        fits = [b for b in bins if b[0] - b[1] >= x]
+        fits = [(capacity - used, i) for i, (used, capacity) in enumerate(bins) if capacity - used >= x]
         if fits:
-            min(fits, key=lambda b: b[0] - b[1])[1] += x
+            bins[min(fits)[1]][0] += x
         else:
             keys = sorted(k for k in left if left[k])
             c = min((c for c in capacities if c >= x), key=lambda c: (packing.padding_cost(c) / packing.fill(c, x, left, keys), c))
-            bins.append([c, x])
+            bins.append([x, c])
         left[x] -= 1
-    return sorted(b[1] for b in bins)
+    return sorted((u, min(c for c in capacities if c >= u)) for u, _ in bins)
 
 
 def test_packing_equals_piece_by_piece(spark, docs):
     r = random.Random(3)
-    for _ in range(20):
-        lengths = [r.randint(1, 64) for _ in range(r.randint(1, 60))]
-        runs, bins = packing.plan({x: lengths.count(x) for x in lengths}, (16, 32, 64))
-        used = sorted(u for _, n, u, _ in bins for _ in range(n))
-        assert sum(used) == sum(lengths) and all(c >= u and (c == 16 or u > c // 2) for _, _, u, c in bins)
-        assert len(used) <= 11 / 9 * len(naive_pack(lengths, (16, 32, 64))) + 1
+    for _ in range(200):
+        capacities = r.choice([(16, 32, 64), (10, 25, 40), (512, 1024, 2048, 4096)])
+        most = capacities[-1]
+        lengths = [r.randint(1, r.choice([most, most // 8])) for _ in range(r.randint(0, 120))]
+        if r.random() < 0.4:
+            lengths = [r.choice([1, 2, 3, most // 3, most // 2, most - 1]) for _ in lengths]
+        runs, bins = packing.plan({x: lengths.count(x) for x in lengths}, capacities)
+        assert sorted((u, c) for _, n, u, c in bins for _ in range(n)) == naive_pack(lengths, capacities)
+        ranks = sorted((k, rank + i) for k, rank, n, _, _ in runs for i in range(n))
+        assert ranks == sorted((x, i) for x in set(lengths) for i in range(lengths.count(x)))
     rows = packing.pack(docs, n_words(F.col("text")), F.xxhash64("text"), (64, 128)).collect()
     by = {}
     for x in rows:
@@ -396,6 +497,8 @@ def test_packing_equals_piece_by_piece(spark, docs):
         assert [x["bin_offset"] for x in b] == [sum(y["length"] for y in b[:k]) for k in range(len(b))]
         assert sum(x["length"] for x in b) == b[0]["bin_used"] <= b[0]["capacity"]
     assert sum(x["length"] for x in rows) == sum(len(words(t)) for _, t, *_ in table())
+    pieces = [n - k if n - k < 128 else 128 for n in (len(words(t)) for _, t, *_ in table()) for k in range(0, n, 128)]
+    assert sorted((b[0]["bin_used"], b[0]["capacity"]) for b in by.values()) == naive_pack(pieces, (64, 128))
 
 
 def test_pipeline_stages(spark):
@@ -414,3 +517,23 @@ def test_pipeline_stages(spark):
     packed = p.packed(spark, mixed, SF)
     assert packed.agg(F.sum("length")).first()[0] == mixed.agg(F.sum(n_words(F.col("text")))).first()[0]
     assert json.dumps([n for n, _ in p.STAGES])
+
+
+def test_pipeline_stages_on_hard_rows(spark, docs, none):
+    import corpus_pipeline as p
+
+    for rows in (docs, none):
+        for _, stage in p.STAGES[:-1]:
+            kept = stage(spark, rows, SF)
+            assert kept.columns == docs.columns and kept.where("label = 'clash' or label is null").count() == kept.count() <= 4 * max(1, rows.count())
+            rows = kept
+        assert p.packed(spark, rows, SF).count() >= rows.count()
+
+
+def test_mixing_numbers_rows_that_agree_with_the_last(spark):
+    text = "one two three four"
+    rows = [(i % 2, text, "en", "s") for i in range(9)] + [(5, None, "en", "s"), (6, " ", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for percent in (10, 37, 60, 100, 150):
+        got = mixing.apply_mix(df, F.lit("d"), {}, percent, 4)
+        assert got.select(F.sum(n_words(F.col("text")))).first()[0] == 36 * percent // 100
