@@ -72,13 +72,14 @@ def cached(asked: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return asked.join(live, F.col("key") == F.col("k"), "left").select("id", "answer", F.col("answer").isNotNull().alias("hit"))
 
 
-def near_cached(asked: DataFrame, cache: DataFrame, least: float = 0.92) -> DataFrame:
+def near_cached(asked: DataFrame, cache: DataFrame, least: float = 0.92, where: Column | None = None) -> DataFrame:
     """(id, entry, sim): the cached question with the same parameters that is most like each one asked, if like enough.
 
-    Both have (parameters, vector), unit vectors; ties go to the smaller entry. Only questions of equal parameters meet.
+    Both have (parameters, vector), unit vectors; ties go to the smaller entry. Only questions of equal parameters meet, and of
+    those only pairs (id, entry) for which `where` holds.
     """
     sim = F.aggregate(F.zip_with("vector", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    both = asked.join(cache.select(F.col("parameters").alias("p"), "entry", F.col("vector").alias("v")), F.col("parameters") == F.col("p")).withColumn("sim", sim)
+    both = asked.join(cache.select(F.col("parameters").alias("p"), "entry", F.col("vector").alias("v")), (F.col("parameters") == F.col("p")) & (F.lit(True) if where is None else where)).withColumn("sim", sim)
     best = both.where(F.round("sim", 9) >= least).groupBy("id").agg(F.max(F.struct(F.round("sim", 9).alias("s"), (-F.col("entry")).alias("e"), "sim")).alias("m"))
     return best.select("id", (-F.col("m.e")).alias("entry"), F.col("m.sim").alias("sim"))
 

@@ -49,3 +49,25 @@ def hops(seeds: DataFrame, edges: DataFrame, n: int) -> DataFrame:
         front = front.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "hop")
         seen = seen.unionByName(front)
     return seen.where("hop > 0")
+
+
+def precedence(values: dict[str, int], column: str) -> Column:
+    """Of a group's values the one of least place, in an aggregate; others count last, by name."""
+    place = F.lit(len(values))
+    for v, k in values.items():
+        place = F.when(F.col(column) == v, k).otherwise(place)
+    return F.min(F.struct(place.alias("place"), F.col(column).alias("value")))["value"]
+
+
+def newest_threads(messages: DataFrame, thread: str, ts: str, key: str, threads: int = 24, each: int = 80) -> DataFrame:
+    """The last `each` messages of the `threads` threads that were used last; ties by thread and key."""
+    used = messages.groupBy(thread).agg(F.max(ts).alias("_last")).orderBy(F.col("_last").desc(), thread).limit(threads)
+    kept = messages.join(F.broadcast(used.select(F.col(thread).alias("_t"))), F.col(thread) == F.col("_t"), "left_semi")
+    w = Window.partitionBy(thread).orderBy(F.col(ts).desc(), F.col(key).desc())
+    return kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= each).drop("_rn")
+
+
+def parents(children: DataFrame, rows: DataFrame, child: str, parent: str, rank: str, by: str) -> DataFrame:
+    """Parents of ranked children, each once per `by`, at the place of its first child."""
+    found = children.join(rows.select(child, parent), child)
+    return found.groupBy(by, parent).agg(F.min(rank).alias(rank), F.count(F.lit(1)).alias("children"))

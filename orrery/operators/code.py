@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Patterns of definitions by language.
 _JS = [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)\s*=>|function)", r"(?:^|\n)\s*(?:export\s+)?class\s+(\w+)"]
@@ -119,3 +120,46 @@ def frames(traces: DataFrame) -> DataFrame:
     file = F.when(F.col("content").rlike(py), F.regexp_extract("content", py, 1)).otherwise(F.regexp_extract("content", go, 1))
     at = F.when(F.col("content").rlike(py), F.regexp_extract("content", py, 2)).otherwise(F.regexp_extract("content", go, 2))
     return rows.select("id", "line", file.alias("file"), F.expr("1").alias("_one"), at.alias("at")).where("file <> ''").select("id", "line", "file", F.col("at").cast("long").alias("at"))
+
+
+def unified_diff(changes: DataFrame, by: str, path: str, order: str, body: str) -> DataFrame:
+    """(by, diff): the changes of one request, each under its two file marks, in order."""
+    part = F.concat(F.lit("--- a/"), F.col(path), F.lit("\n+++ b/"), F.col(path), F.lit("\n"), F.coalesce(F.col(body), F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))))
+    return changes.groupBy(by).agg(F.array_join(F.transform(rows, lambda x: x["p"]), "\n").alias("diff"))
+
+
+def change_counters(changes: DataFrame, by: str, body: str, new: Column, deleted: Column, renamed: Column) -> DataFrame:
+    """Files, added and removed lines (a first line is not counted), and files by tag: NEW before DEL before REN before MOD."""
+    count = lambda mark: F.coalesce(F.regexp_count(body, F.lit("\\n" + mark)), F.lit(0))
+    tag = F.when(new, "NEW").when(deleted, "DEL").when(renamed, "REN").otherwise("MOD")
+    of = lambda t: F.sum((F.col("_tag") == t).cast("long")).alias(t.lower())
+    rows = changes.withColumn("_tag", tag)
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum(count(r"\+")).cast("long").alias("added"), F.sum(count("-")).cast("long").alias("removed"), *[of(t) for t in ("NEW", "DEL", "REN", "MOD")])
+
+
+def diff_keywords(diff: Column, most: int = 5) -> Column:
+    """Names of functions and packages and last parts of quoted paths in changed lines, in order of appearance by kind, at most
+    five; without any, one default phrase."""
+    changed = F.filter(F.split(diff, "\n"), lambda x: x.startswith("+") | x.startswith("-"))
+    first = lambda p: F.filter(F.transform(changed, lambda x: F.regexp_extract(x, p, 1)), lambda x: x != "")
+    paths = F.transform(F.filter(first(r'"([^"]+)"'), lambda x: F.contains(x, F.lit("/"))), lambda x: F.regexp_extract(x, "([^/]*)$", 1))
+    found = F.slice(F.array_distinct(F.concat(first(r"func\s+(?:\([^)]+\)\s+)?(\w+)"), first(r"package\s+(\w+)"), paths)), 1, most)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("error handling")))  # fixed value: the default phrase
+
+
+def impact(hits: DataFrame, symbol: str, repo: str, file: str, usage: str) -> DataFrame:
+    """Per symbol and repository: hits, files and definitions, with the repository's place by hits."""
+    r = hits.groupBy(symbol, repo).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct(file).alias("files"), F.sum((F.col(usage) == "definition").cast("long")).alias("definitions"))
+    return r.withColumn("place", F.row_number().over(Window.partitionBy(symbol).orderBy(F.col("hits").desc(), repo)).cast("long"))
+
+
+def impact_totals(hits: DataFrame, repo: str, file: str, symbol: str) -> DataFrame:
+    """Over all symbols of a change: symbols with hits, affected repositories and files."""
+    return hits.agg(F.countDistinct(symbol).alias("symbols"), F.countDistinct(repo).alias("repos"), F.countDistinct(file).alias("files"))
+
+
+def untested(functions: DataFrame, tests: DataFrame, name: str, *by: str) -> DataFrame:
+    """Functions (by, name) for which tests (by, name) have neither the name itself nor the name after `test`, case aside."""
+    covered = tests.select(*[F.col(c).alias(f"_{c}") for c in by], F.regexp_replace(F.lower(name), "^test_?", "").alias("_name")).distinct()
+    return functions.join(covered, [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lower(name) == F.col("_name")], "left_anti")

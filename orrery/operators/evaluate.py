@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import QUESTION_STOP_WORDS
+
 
 def at_k(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Precision, recall and NDCG at each k and the reciprocal rank, per query of ranked (query, doc, rank) and relevant (query, doc)."""
+    """Precision, recall and NDCG at each k and the reciprocal rank, per query of ranked (query, doc, rank) and relevant (query, doc).
+    A query without relevant rows has zeros."""
     total = relevant.groupBy("query").agg(F.count(F.lit(1)).alias("n_relevant"))
     hit = ranked.join(relevant.withColumn("hit", F.lit(1)), ["query", "doc"], "left").fillna(0, ["hit"])
     aggs = [F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)).alias("rr")]
     for k in ks:
         aggs += [F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"hits{k}"), F.sum(F.when(F.col("rank") <= k, F.col("hit") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"dcg{k}")]
-    rows = hit.groupBy("query").agg(*aggs).join(total, "query")
+    rows = hit.groupBy("query").agg(*aggs).join(total, "query", "left").fillna(0, ["n_relevant"])
     out = [F.col("query"), F.col("rr")]
     for k in ks:
-        ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_relevant").cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-        out += [(F.col(f"hits{k}") / k).alias(f"p{k}"), (F.col(f"hits{k}") / F.col("n_relevant")).alias(f"r{k}"), (F.col(f"dcg{k}") / ideal).alias(f"ndcg{k}")]
+        ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_relevant").cast("int")))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+        some = lambda x: F.when(F.col("n_relevant") > 0, x).otherwise(0.0)
+        out += [(F.col(f"hits{k}") / k).alias(f"p{k}"), some(F.col(f"hits{k}") / F.col("n_relevant")).alias(f"r{k}"), some(F.col(f"dcg{k}") / ideal).alias(f"ndcg{k}")]
     return rows.select(*out)
 
 
@@ -37,6 +41,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def relevance(answer: Column, question: Column) -> Column:
+    """Jaccard similarity of two sets of words without the stop words of questions; 0 where a side is empty."""
+    plain = lambda c: F.filter(c, lambda w: ~w.isin(QUESTION_STOP_WORDS))
+    return F.when((F.size(plain(answer)) > 0) & (F.size(plain(question)) > 0), jaccard(plain(answer), plain(question))).otherwise(0.0)
+
+
+def rating(score: Column) -> Column:
+    return F.when(score >= 0.8, "Excellent").when(score >= 0.7, "Good").when(score >= 0.6, "Fair").otherwise("Needs Improvement")
+
+
+#: Tokens of a question and of the system's instructions.
+QUESTION_TOKENS, SYSTEM_TOKENS = 50, 100
+
+
+def cost_per_query(n_docs: Column, doc_tokens: Column, answer_tokens: Column, in_per_1k: Column, out_per_1k: Column) -> dict[str, Column]:
+    tokens_in = n_docs * doc_tokens + QUESTION_TOKENS + SYSTEM_TOKENS
+    return {"input_tokens": tokens_in, "total_tokens": tokens_in + answer_tokens, "total_cost": tokens_in / 1000 * in_per_1k + answer_tokens / 1000 * out_per_1k}
+
+
 def compare(rows: DataFrame, arm: str, value: str) -> DataFrame:
     """Arms a and b: means, change in per cent and the t statistic with equal variance."""
     g = rows.groupBy(arm).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))

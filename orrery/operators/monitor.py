@@ -17,11 +17,13 @@ def latest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
 
 
 def nearest_rank(rows: DataFrame, by: str, value: str, ps: dict[str, float]) -> DataFrame:
-    """Percentiles as the element floor(n * p), from 0, of the sorted values; mean, least, greatest and count."""
+    """Percentiles as the element floor(n * p), from 0, of the sorted values; mean, least, greatest and count. Values are counted
+    before they are ranked, so that a group's repeated values travel as one row each; null values are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
-    return ranked.groupBy(by).agg(*[at(p).alias(name) for name, p in ps.items()], F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
+    return counts.groupBy(by).agg(*[at(p).alias(name) for name, p in ps.items()], (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum("_c").alias("n"))
 
 
 def satisfaction(rows: DataFrame, action: str) -> DataFrame:
@@ -44,10 +46,10 @@ def costs(calls: DataFrame) -> DataFrame:
 
 
 def drift(rows: DataFrame, by: str, order: list[str], score: str, first: int = 50, last: int = 50, limit: float = 0.15) -> DataFrame:
-    """Mean of the first scores against mean of the last ones, per group."""
-    w = Window.partitionBy(by)
-    r = rows.withColumn("_a", F.row_number().over(w.orderBy(*order))).withColumn("_z", F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order])))
-    r = r.groupBy(by).agg(F.avg(F.when(F.col("_a") <= first, F.col(score))).alias("baseline"), F.avg(F.when(F.col("_z") <= last, F.col(score))).alias("recent"))
+    """Mean of the first scores against mean of the last ones, per group. Ranks are cut in each partition before the shuffle."""
+    head = latest(rows.select(by, score, *order), [by], [F.col(c) for c in order], first).groupBy(by).agg(F.avg(score).alias("baseline"))
+    tail = latest(rows.select(by, score, *order), [by], [F.col(c).desc() for c in order], last).groupBy(F.col(by).alias("_by")).agg(F.avg(score).alias("recent"))
+    r = head.join(tail, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     change = F.abs(F.col("recent") - F.col("baseline")) / F.col("baseline")
     return r.withColumn("change", change).withColumn("drifted", change > limit)
 
@@ -70,6 +72,57 @@ def admitted(rows: DataFrame, by: str, ts: str, key: str, limit: int = 10, secon
 
 
 def survivors(entries: DataFrame, now: Column, size: int) -> DataFrame:
-    """Cache entries (key, last_access, expires_at) that neither expired nor were evicted."""
-    live = entries.where(F.col("expires_at") > now)
-    return live.withColumn("_rn", F.row_number().over(Window.orderBy(F.col("last_access").desc(), "key"))).where(F.col("_rn") <= size).drop("_rn")
+    """Cache entries (key, last_access, expires_at) that neither expired nor were evicted: the `size` last used."""
+    return entries.where(F.col("expires_at") > now).orderBy(F.col("last_access").desc(), "key").limit(size)
+
+
+# Seconds that a namespace of the search cache keeps an entry.
+TTL = {"embedding": 86_400, "query": 3_600, "hyde": 7_200, "rerank": 3_600, "search": 1_800}
+TTL_DEFAULT = 3_600
+
+
+def cache_lookups(lookups: DataFrame, namespace: str, key: str, ts: str, order: str, ttl: Column) -> DataFrame:
+    """Lookups with `hit`: the entry's last store is less than ttl seconds old. A miss stores the entry; a hit doesn't renew it.
+
+    Folds each key's lookups in order, holding only the time of the last store."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = lookups.withColumn("_t", t).withColumn("_ttl", ttl.cast("long") * 1_000_000)
+    log = rows.groupBy(namespace, key).agg(F.array_sort(F.collect_list(F.struct("_t", F.col(order).alias("id"), "_ttl"))).alias("log"))
+    start = F.struct(F.lit(None).cast("long").alias("stored"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.coalesce(x["_t"] - acc["stored"] < x["_ttl"], F.lit(False))
+        return F.struct(F.when(hit, acc["stored"]).otherwise(x["_t"]).alias("stored"), (acc["hits"] + hit.cast("long")).alias("hits"), (acc["misses"] + (~hit).cast("long")).alias("misses"))
+
+    return log.select(namespace, key, F.aggregate("log", start, step).alias("x")).select(namespace, key, "x.hits", "x.misses")
+
+
+def cache_stats(counted: DataFrame, namespace: str) -> DataFrame:
+    """hits, misses and hit rate (0 without lookups) of each namespace."""
+    r = counted.groupBy(namespace).agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    return r.withColumn("hit_rate", F.round(F.col("hits") / F.greatest(F.col("hits") + F.col("misses"), F.lit(1)), 4))
+
+
+# Prices of a million tokens, in and out, by provider and model, and each provider's price of other models.
+MILLION = {
+    "openai": {"gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-4-turbo": (10.0, 30.0), "gpt-4": (30.0, 60.0), "gpt-3.5-turbo": (0.5, 1.5)},
+    "anthropic": {"claude-sonnet-4-20250514": (3.0, 15.0), "claude-3-5-sonnet-20241022": (3.0, 15.0), "claude-3-opus-20240229": (15.0, 75.0), "claude-3-haiku-20240307": (0.25, 1.25)},
+    "gemini": {"gemini-2.0-flash": (0.1, 0.4), "gemini-1.5-pro": (1.25, 5.0), "gemini-1.5-flash": (0.075, 0.3), "gemini-pro": (0.5, 1.5)},
+}
+MILLION_OTHER = {"openai": (0.15, 0.6), "anthropic": (3.0, 15.0), "gemini": (0.1, 0.4)}
+
+
+def million_price(provider: str, model: Column, tokens_in: Column, tokens_out: Column) -> Column:
+    cost = lambda p: tokens_in / 1e6 * p[0] + tokens_out / 1e6 * p[1]
+    out = cost(MILLION_OTHER[provider])
+    for name, p in MILLION[provider].items():
+        out = F.when(model == name, cost(p)).otherwise(out)
+    return out
+
+
+def extremes(rows: DataFrame, value: str, key: str, n: int = 3) -> DataFrame:
+    """The n greatest and the n least rows, with side and rank; ties by key."""
+    take = lambda side, order: rows.orderBy(order, key).limit(n).withColumn("side", F.lit(side))
+    both = take("largest", F.col(value).desc()).unionByName(take("smallest", F.col(value)))
+    order = F.when(F.col("side") == "largest", -F.col(value)).otherwise(F.col(value))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(order, key)).cast("long"))

@@ -30,17 +30,71 @@ def idf(post: DataFrame, n: Column) -> DataFrame:
 
 
 def bm25(docs: DataFrame, doc: str, words: Column, queries: DataFrame) -> DataFrame:
-    """(query, doc, score > 0) of queries (query, words): every occurrence of a query's token counts."""
-    post = postings(docs, doc, words)
-    size = docs.select(F.count(F.lit(1)).alias("n"))
-    dl = lengths(post)
-    stats = dl.agg(F.sum("dl").alias("total")).crossJoin(size).select("n", F.greatest(F.col("total") / F.col("n"), F.lit(1.0)).alias("avgdl"))
+    """(query, doc, score > 0) of queries (query, words): every occurrence of a query's token counts.
+
+    A document is one row, so that its length is the size of its token array. Only tokens that a query asks for are ever
+    grouped: the others leave by a semi join before any shuffle.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), words.alias("words"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("total"))
+    stats = stats.select("n", F.greatest(F.col("total") / F.col("n"), F.lit(1.0)).alias("avgdl"))
     asked = queries.select("query", F.explode("words").alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    each = rows.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    post = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = asked.join(df, "term").join(F.broadcast(stats)).join(post, "term").join(dl, "doc")
+    hits = asked.join(df, "term").join(F.broadcast(stats)).join(post, "term")
+    return hits.groupBy("query", "doc").agg(F.sum(bm25_part()).alias("score")).where("score > 0")
+
+
+def bm25_part() -> Column:
+    """What one term adds, from qtf, n, df, tf, dl and avgdl."""
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
+    return F.col("qtf") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_within(candidates: DataFrame, words: Column, asked: Column) -> DataFrame:
+    """(query, doc, score > 0) of candidates: statistics over each query's own candidates only, so that idf differs by query.
+
+    words and asked are arrays of the tokens of the candidate and of its query."""
+    w = Window.partitionBy("query")
+    rows = candidates.select("query", "doc", words.alias("words"), asked.alias("asked")).withColumn("dl", F.size("words"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("avgdl", F.greatest(F.avg("dl").over(w), F.lit(1.0)))
+    tf = lambda t: F.size(F.filter("words", lambda x: x == t))
+    qtf = lambda t: F.size(F.filter("asked", lambda x: x == t))
+    terms = F.transform(F.array_distinct("asked"), lambda t: F.struct(t.alias("term"), tf(t).alias("tf"), qtf(t).alias("qtf")))
+    hits = rows.select("query", "doc", "dl", "n", "avgdl", F.explode(terms).alias("t")).select("query", "doc", "dl", "n", "avgdl", "t.*").where("tf > 0")
+    hits = hits.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query", "term")))
+    return hits.groupBy("query", "doc").agg(F.sum(bm25_part()).alias("score")).where("score > 0")
+
+
+def hybrid_within(candidates: DataFrame, words: Column, asked: Column, weight: Column, distance: str = "distance") -> DataFrame:
+    """Candidates (query, doc, distance, ...) with bm25_score, vector_score and hybrid_score: keyword scores are joined to the
+    vector hits, which all stay; of the keyword scores the least and the missing ones become 0."""
+    scored = bm25_within(candidates, words, asked)
+    scored = scored.select(F.col("query").alias("_q"), F.col("doc").alias("_d"), min_max(scored, "score").alias("bm25_score"))
+    both = candidates.join(scored, (F.col("query") == F.col("_q")) & (F.col("doc") == F.col("_d")), "left").drop("_q", "_d").fillna(0.0, ["bm25_score"])
+    both = both.withColumn("vector_score", 1 / (1 + F.coalesce(F.nullif(F.col(distance), F.lit(0.0)), F.lit(2.0))))
+    return both.withColumn("hybrid_score", F.col("bm25_score") * weight + F.col("vector_score") * (1 - weight))
+
+
+#: Scale of the keyword boost by intent.
+BOOST_SCALE = {"semantic": 0.45, "keyword": 1.55}
+
+
+def base_search(hits: DataFrame, words: Column, code: Column, file: Column, repo: Column, intent: Column, k: int = 10) -> DataFrame:
+    """The k best of vector hits (query, doc, distance, ...) by distance less keyword boost, with rank."""
+    scale = F.when(intent == "semantic", BOOST_SCALE["semantic"]).when(intent == "keyword", BOOST_SCALE["keyword"]).otherwise(1.0)
+    boosted = hits.withColumn("keyword_boost", keyword_boost(words, code, file, repo, scale))
+    return top(boosted.withColumn("hybrid_score", F.col("distance") - F.col("keyword_boost")), k, score="hybrid_score", ascending=True)
+
+
+def gates(intent: Column, n_results: Column) -> dict[str, Column]:
+    """Which steps a search takes: in-result hybrid, graph expansion, reranking."""
+    return {"hybrid": intent != "semantic", "graph": intent == "dependency", "rerank": n_results <= 20}
+
+
+def similarity_percent(distance: Column) -> Column:
+    return F.round((1 - distance) * 100, 1)
 
 
 def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", key: str = "doc", ascending: bool = False) -> DataFrame:
@@ -126,10 +180,12 @@ def lexical_rerank(words: Column, code: Column, file: Column, repo: Column) -> C
 
 
 def keyword_boost(words: Column, code: Column, file: Column, repo: Column, scale: Column) -> Column:
-    """1 for a keyword in the repository's name, else 0.4 in the path, plus 0.2 in the code, times the intent's scale."""
-    w = F.filter(words, lambda x: F.length(x) >= 3)
-    has = lambda c, x, v: F.when(F.contains(F.lower(c), x), F.lit(v)).otherwise(F.lit(0.0))
-    return scale * F.aggregate(w, F.lit(0.0), lambda s, x: s + has(repo, x, 1.0) + has(file, x, 0.4) + has(code, x, 0.2))
+    """Over the distinct keywords of 3 letters or more: 1 if the repository's name (- and _ as spaces) has it, plus 0.4 if the
+    path has it, plus 0.2 if the code has it; times scale."""
+    w = F.array_distinct(F.filter(words, lambda x: F.length(x) >= 3))
+    name = F.translate(F.lower(repo), "-_", "  ")
+    has = lambda c, x, v: F.when(F.contains(c, x), F.lit(v)).otherwise(F.lit(0.0))
+    return scale * F.aggregate(w, F.lit(0.0), lambda s, x: s + has(name, x, 1.0) + has(F.lower(file), x, 0.4) + has(F.lower(code), x, 0.2))
 
 
 def within_budget(ranked: DataFrame, size: Column, budget: int, by: str = "query") -> DataFrame:

@@ -52,10 +52,10 @@ def exact_cache(spark, d):
     return assistant.cached(asked, stored.withColumn("expires_at", F.when(F.col("m") == 0, 10).otherwise(0)), F.lit(5))
 
 
-@query("with s as (select q.vec_id as id, v.vec_id as entry, list_dot_product(q.embedding::double[], v.embedding::double[]) as sim from embeddings q join embeddings v on q.label = v.label where q.vec_id % 50 = 0 and v.vec_id % 50 <> 0), r as (select *, row_number() over (partition by id order by round(sim, 9) desc, entry) as rn from s where round(sim, 9) >= 0.2) select id, entry, round(sim, 6) as sim from r where rn = 1")
+@query("with s as (select q.vec_id as id, v.vec_id as entry, list_dot_product(q.embedding::double[], v.embedding::double[]) as sim from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by id order by round(sim, 9) desc, entry) as rn from s where round(sim, 9) >= 0.2) select id, entry, round(sim, 6) as sim from r where rn = 1")
 def semantic_cache(spark, d):
     v = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("parameters"), F.col("embedding").alias("vector"))
-    found = assistant.near_cached(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "id"), v.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "entry"), 0.2)
+    found = assistant.near_cached(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "id"), v.withColumnRenamed("vec_id", "entry"), 0.2, F.col("id") != F.col("entry"))
     return found.select("id", "entry", F.round("sim", 6).alias("sim"))
 
 

@@ -69,9 +69,9 @@ def token_stats(spark, d):
 @query("with " + POSTINGS + " select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs, st")
 def doc_freq_idf(spark, d):
     rows = docs(spark, d)
-    post = search.postings(rows, "doc_id", T.tokens(F.col("text")))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
+    terms = rows.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))  # a document is one row
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
     return df.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -178,10 +178,10 @@ def context_budget(spark, d):
     return search.within_budget(hits, F.col("n"), 6000).select("query", "doc", "rank", "used")
 
 
-@query(f"select query, doc, rank from (select *, max(c) over (partition by query) as best from (select query, doc, rank, cos as c from ({knn_sql().replace('round(cos, 6) as cos', 'cos')}))) where rank <= 3 or best < 1.5")
+@query(f"select query, doc, rank from (select *, max(c) over (partition by query) as best from (select query, doc, rank, cos as c from ({knn_sql().replace('round(cos, 6) as cos', 'cos')}))) where rank <= 3 or best < 0.28")
 def progressive_cutoff(spark, d):
     hits = search.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 10)
-    return search.progressive(hits, "cos", 3, 1.5).select("query", "doc", "rank")
+    return search.progressive(hits, "cos", 3, 0.28).select("query", "doc", "rank")
 
 
 LEX = "list_distinct(list_filter(string_split(lower(b.text), ' '), lambda w: length(w) >= 3))"
@@ -197,9 +197,10 @@ def lexical_rerank(spark, d):
 # ---- telemetry -------------------------------------------------------------------------------------------------------
 
 
-@query("with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) select event_type, max(case when i = least(floor(n * 0.5), n - 1) then value end) as p50, max(case when i = least(floor(n * 0.95), n - 1) then value end) as p95, max(case when i = least(floor(n * 0.99), n - 1) then value end) as p99, round(avg(value), 6) as mean, min(value) as low, max(value) as high, count(*) as n from r group by event_type")
+@query("with l as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as z from events), r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from l where z <= 1000) select event_type, max(case when i = least(floor(n * 0.5), n - 1) then value end) as p50, max(case when i = least(floor(n * 0.95), n - 1) then value end) as p95, max(case when i = least(floor(n * 0.99), n - 1) then value end) as p99, round(avg(value), 6) as mean, min(value) as low, max(value) as high, count(*) as n from r group by event_type")
 def latency_percentiles(spark, d):
-    r = monitor.nearest_rank(events(spark, d), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    last = monitor.latest(events(spark, d), ["event_type"], [F.col("ts").desc(), F.col("event_id").desc()], 1000)
+    r = monitor.nearest_rank(last, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return r.withColumn("mean", F.round("mean", 6))
 
 
@@ -212,15 +213,16 @@ def interp_percentiles(spark, d):
 ACTIONS = {"click": "click", "view": "skip", "purchase": "thumbs_up", "signup": "reformulate", "error": "thumbs_down"}
 
 
-@query("select round(avg(v), 4) as satisfaction, count(v) as n from (select case event_type when 'purchase' then 1.0 when 'click' then 0.7 when 'view' then 0.3 when 'error' then 0.0 end::double as v from events)")
+@query("select round(avg(v), 4) as satisfaction, count(v) as n from (select case event_type when 'purchase' then 1.0 when 'click' then 0.7 when 'view' then 0.3 when 'error' then 0.0 end::double as v from (select * from events where event_type <> 'signup' order by ts desc, event_id desc limit 1000))")
 def csat(spark, d):
     action = F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.lit(v))])
-    return monitor.satisfaction(events(spark, d).withColumn("action", F.try_element_at(action, F.col("event_type"))), "action")
+    last = events(spark, d).where("event_type <> 'signup'").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(1000)
+    return monitor.satisfaction(last.withColumn("action", F.try_element_at(action, F.col("event_type"))), "action")
 
 
-@query("select event_type, count(*) as n from events group by event_type")
+@query("select event_type, count(*) as n from (select * from events order by ts desc, event_id desc limit 500) group by event_type")
 def action_histogram(spark, d):
-    return events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events(spark, d).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("with r as (select event_type, value, row_number() over (partition by event_type order by ts, event_id) as a, row_number() over (partition by event_type order by ts desc, event_id desc) as z from events), g as (select event_type, avg(case when a <= 50 then value end) as b, avg(case when z <= 50 then value end) as r from r group by event_type) select event_type, round(b, 6) as baseline, round(r, 6) as recent, round(abs(r - b) / b, 6) as change, abs(r - b) / b > 0.15 as drifted from g")
@@ -277,17 +279,18 @@ def retrieval_eval(spark, d):
     return r.select("query", *[F.round(c, 6).alias(c) for c in r.columns if c != "query"])
 
 
+QSTOPS = "[" + ", ".join(f"'{w}'" for w in T.QUESTION_STOP_WORDS) + "]"
 SETS = "select conv_id, turn, list_filter(list_distinct(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+')), lambda w: w <> '') as w, role from conversations"
 
 
-@query(f"with s as ({SETS}), p as (select a.conv_id, a.turn, a.w as answer, q.w as question from s a join s q on a.conv_id = q.conv_id and a.turn = q.turn + 1 and a.role = 'assistant' and q.role = 'user') select conv_id, turn, round(len(list_intersect(answer, question)) / greatest(len(answer), 1), 6) as faithfulness, round(len(list_intersect(answer, question)) / greatest(len(answer) + len(question) - len(list_intersect(answer, question)), 1), 6) as relevance, round(case when len(answer) + len(question) > 0 then 2 * len(list_intersect(answer, question)) / (len(answer) + len(question)) else 0 end, 6) as f1 from p")
+@query(f"with s as ({SETS}), p as (select a.conv_id, a.turn, a.w as answer, q.w as question, list_filter(a.w, lambda x: not list_contains({QSTOPS}, x)) as pa, list_filter(q.w, lambda x: not list_contains({QSTOPS}, x)) as pq from s a join s q on a.conv_id = q.conv_id and a.turn = q.turn + 1 and a.role = 'assistant' and q.role = 'user') select conv_id, turn, round(len(list_intersect(answer, question)) / greatest(len(answer), 1), 6) as faithfulness, round(case when len(pa) = 0 or len(pq) = 0 then 0 else len(list_intersect(pa, pq)) / (len(pa) + len(pq) - len(list_intersect(pa, pq))) end, 6) as relevance, round(case when len(answer) + len(question) > 0 then 2 * len(list_intersect(answer, question)) / (len(answer) + len(question)) else 0 end, 6) as f1 from p")
 def answer_metrics(spark, d):
     c = read(spark, d, "conversations").select("conv_id", "turn", "role", T.plain_words(F.col("text")).alias("w"))
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("w").alias("answer"))
     q = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("question"))
     p = a.join(q, ["conv_id", "turn"])
     x, y = F.col("answer"), F.col("question")
-    return p.select("conv_id", "turn", F.round(evaluate.faithfulness(x, y), 6).alias("faithfulness"), F.round(evaluate.jaccard(x, y), 6).alias("relevance"), F.round(evaluate.overlap_f1(x, y), 6).alias("f1"))
+    return p.select("conv_id", "turn", F.round(evaluate.faithfulness(x, y), 6).alias("faithfulness"), F.round(evaluate.relevance(x, y), 6).alias("relevance"), F.round(evaluate.overlap_f1(x, y), 6).alias("f1"))
 
 
 @query("with g as (select user_id % 2 as arm, count(value) as n, avg(value) as m, var_samp(value) as v from events group by 1), x as (select max(case when arm = 0 then n end) as na, max(case when arm = 1 then n end) as nb, max(case when arm = 0 then m end) as ma, max(case when arm = 1 then m end) as mb, max(case when arm = 0 then v end) as va, max(case when arm = 1 then v end) as vb from g) select na as n_a, nb as n_b, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(100 * (mb - ma) / ma, 5) as change_percent, round((mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 5) as t from x")
@@ -313,16 +316,11 @@ def graph_degrees(spark, d):
     return catalog.neighbours(edges(spark, d)).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query("select n_nationkey as seed, c.c_mktsegment as node, 2::bigint as hop from nation join customer c on c_nationkey = n_nationkey group by all union all select r_regionkey + 1000 as seed, 'n' || n_nationkey as node, 1::bigint as hop from region join nation on n_regionkey = r_regionkey")
+@query(f"with {EDGES}, n as (select src as node, dst as m from e union select dst, src from e), h1 as (select distinct node as seed, m as node from n where node like 's%' and cast(substr(node, 2) as bigint) % 100 = 0), h2 as (select distinct h1.seed, n.m as node from h1 join n on h1.node = n.node where n.m <> h1.seed and (h1.seed, n.m) not in (select seed, node from h1)) select seed, node, 1::bigint as hop from h1 union all select seed, node, 2::bigint from h2")
 def graph_hops(spark, d):
-    nation, customer = read(spark, d, "nation"), read(spark, d, "customer")
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = nation.select((F.col("n_regionkey") + 1000).cast("string").alias("src"), key("n", "n_nationkey").alias("dst"))
-    first = catalog.hops(e.select(F.col("src").alias("seed")).distinct(), e, 1)
-    e2 = nation.select(F.col("n_nationkey").cast("string").alias("src"), key("x", "n_nationkey").alias("dst")).union(customer.select(key("x", "c_nationkey"), "c_mktsegment")).distinct()
-    second = catalog.hops(nation.select(F.col("n_nationkey").cast("string").alias("seed")), e2, 2).where("hop = 2")
-    rows = first.union(second)
-    return rows.select(F.col("seed").cast("int").alias("seed"), "node", "hop")
+    n = catalog.neighbours(edges(spark, d)).select(F.col("node").alias("src"), F.col("neighbour").alias("dst"))
+    seeds = read(spark, d, "supplier").where("s_suppkey % 100 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    return catalog.hops(seeds.join(n, F.col("seed") == F.col("src"), "left_semi"), n, 2)
 
 
 @query("select source as repo, count(*) as chunks, count(distinct lang) as languages, min(doc_id) as first_file, round(avg(n_chars), 4) as mean_chars from documents group by source")
