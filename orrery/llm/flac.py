@@ -539,7 +539,6 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def read_back(docs: DataFrame) -> DataFrame:
-    """features() of each text of docs (doc_id, text): streams and then PCM blocks are written to the shared folder and read again."""
-    scratch = Scratch(docs.sparkSession, "flac")
-    stored = scratch.table(pcm(scratch.table(store(docs), "media")), "pcm")
-    return features(stored)
+    """features() of each text of docs (doc_id, text): streams are written to the shared folder, read again and decoded to PCM
+    blocks. blocks() gives those as a table of their own, to be written where samples are to be sought."""
+    return features(pcm(Scratch(docs.sparkSession, "flac").table(store(docs), "media")))
