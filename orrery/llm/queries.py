@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chatformat, flac, langid, licenses, mixing, neardup, packing, quality, secretscan, substrings
-from .common import n_words
+from .common import Scratch, n_words
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
     rendered = chatformat.render(chatformat.fold(chatformat.streamed(rows.unionByName(trap))))
-    return chatformat.digests(rendered)
+    return chatformat.digests(Scratch(spark, "chat").table(rendered, "rendered"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
