@@ -524,7 +524,7 @@ def test_pipeline_stages_on_hard_rows(spark, docs, none):
 
     for rows in (docs, none):
         for _, stage in p.STAGES[:-1]:
-            kept = stage(spark, rows, SF)
+            kept = stage(spark, rows, SF).cache()
             assert kept.columns == docs.columns and kept.where("label = 'clash' or label is null").count() == kept.count() <= 4 * max(1, rows.count())
             rows = kept
         assert p.packed(spark, rows, SF).count() >= rows.count()
