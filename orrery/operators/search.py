@@ -29,19 +29,31 @@ def idf(post: DataFrame, n: Column) -> DataFrame:
     return df.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of few row groups dealt over all cores, for work that costs much more than reading; a scan of at least as many
+    splits as cores, which any large table is, stays as it is, so that no large table is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def bm25(docs: DataFrame, doc: str, words: Column, queries: DataFrame) -> DataFrame:
     """(query, doc, score > 0) of queries (query, words): every occurrence of a query's token counts.
 
-    A document is one row, so that its length is the size of its token array. Only tokens that a query asks for are ever
-    grouped: the others leave by a semi join before any shuffle.
+    Texts are tokenized once. A document is one row, so that its length is the size of its token array; tokens that no query
+    asks for leave by a semi join before anything is grouped. An empty token, asked for by all, is put before each
+    document's tokens and carries its length, so that the counts of documents and words come from the same shuffled
+    postings as the hits and the document frequencies (one exchange, used three times). Null and empty tokens count as none.
     """
-    rows = docs.select(F.col(doc).alias("doc"), words.alias("words"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("total"))
+    real = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: t != "")
+    held = docs.select(F.col(doc).alias("doc"), real(words).alias("words"))
+    asked = queries.select("query", F.explode(real(F.col("words"))).alias("term")).where("term is not null").groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = asked.select(F.col("term").alias("wanted")).union(queries.sparkSession.range(1).select(F.lit("").alias("wanted"))).distinct()
+    each = held.select("doc", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    post = each.where("term is not null").join(wanted, F.col("term") == F.col("wanted"), "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    mark = F.col("term") == ""
+    stats = post.agg(F.coalesce(F.sum(F.when(mark, F.col("tf"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(mark, F.col("dl") * F.col("tf"))), F.lit(0)).alias("total"))
     stats = stats.select("n", F.greatest(F.col("total") / F.col("n"), F.lit(1.0)).alias("avgdl"))
-    asked = queries.select("query", F.explode("words").alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    each = rows.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    post = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = post.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))  # reads tf, else the exchange would be another
     hits = asked.join(df, "term").join(F.broadcast(stats)).join(post, "term")
     return hits.groupBy("query", "doc").agg(F.sum(bm25_part()).alias("score")).where("score > 0")
 

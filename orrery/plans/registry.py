@@ -57,12 +57,12 @@ def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(docs(spark, sf_dir), "doc_id", T.tokens(F.col("text")), bench(spark, sf_dir))
+    return search.bm25(search.spread(docs(spark, sf_dir)), "doc_id", T.tokens(F.col("text")), bench(spark, sf_dir))
 
 
 @query("with " + POSTINGS + " select doc, count(*) as terms, cast(max(tf) as bigint) as most, any_value(dl.dl) as dl from post join dl using (doc) group by doc")
 def token_stats(spark, d):
-    post = search.postings(docs(spark, d), "doc_id", T.tokens(F.col("text")))
+    post = search.postings(search.spread(docs(spark, d)), "doc_id", T.tokens(F.col("text")))
     return post.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.max("tf").alias("most"), F.sum("tf").alias("dl"))
 
 
@@ -70,7 +70,7 @@ def token_stats(spark, d):
 def doc_freq_idf(spark, d):
     rows = docs(spark, d)
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    terms = rows.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))  # a document is one row
+    terms = search.spread(rows).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))  # a document is one row
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
     return df.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
