@@ -117,3 +117,22 @@ def first_line_with(text: Column, needle: Column) -> Column:
 def outer_json(text: Column) -> Column:
     """What stands between the first { and the last }, or the empty string."""
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
+
+
+def merge_request(url: Column) -> Column:
+    """Struct (base_url, project_path, mr_iid, encoded_project) of a merge request's address, whatever page of it; null if it is none."""
+    u, pattern = F.trim(url), r"^(https?://[^/]+)/(.+?)/-/merge_requests/(\d+)"
+    part = lambda i: F.regexp_extract(u, pattern, i)
+    quoted = F.replace(F.url_encode(part(2)), F.lit("+"), F.lit("%20"))
+    quoted = F.replace(F.replace(quoted, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    found = F.struct(part(1).alias("base_url"), part(2).alias("project_path"), part(3).cast("long").alias("mr_iid"), quoted.alias("encoded_project"))
+    return F.when(u.rlike(pattern), found)
+
+
+# What a file must not hold before it is pushed, by kind.
+CREDENTIALS = {"gitlab": r"glpat-[A-Za-z0-9_-]{20,}", "github": r"ghp_[A-Za-z0-9]{36,}", "slack": r"xox[baprs]-", "hook": r"hooks\.slack\.com/services/[A-Za-z0-9/]+"}
+
+
+def credentials(text: Column) -> Column:
+    """Kinds of credentials that a text holds, in the order of CREDENTIALS; none for null."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(p), F.lit(k)) for k, p in CREDENTIALS.items()]))

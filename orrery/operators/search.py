@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -223,3 +223,11 @@ def encode(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     """Plug-in point for an encoder: model maps a list of texts to vectors."""
     for b in batches:
         yield pa.record_batch([b.column(0), pa.array([list(map(float, v)) for v in model(b.column(1).to_pylist())], pa.list_(pa.float32()))], ["id", "embedding"])
+
+
+def rerank(hits: DataFrame, score: Callable[[Column, Column], Column] | None, k: int, asked: str = "asked", code: str = "code", cut: int = 2000) -> DataFrame:
+    """The k best of hits (query, doc, distance, asked, code) by a plugged-in score of (query text, first `cut` characters of
+    the code), such as a Pandas UDF over a cross encoder. Without one the order of distances stays, and the score is the distance."""
+    if score is None:
+        return top(hits.withColumn("rerank_score", F.col("distance")), k, score="rerank_score", ascending=True)
+    return top(hits.withColumn("rerank_score", score(F.col(asked), F.substring(F.col(code), 1, cut))), k, score="rerank_score")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +39,28 @@ def document(rows: DataFrame, key: str, title: str, section: str, order: str, li
     whole = parts.groupBy(key, title).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     text = F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n\n"), F.lit("\n"))
     return whole.select(key, text.alias("markdown"))
+
+
+def snapshot_json(rows: DataFrame, path: str) -> None:
+    """The whole table as JSON lines, in place of what the path held."""
+    rows.write.mode("overwrite").json(path)
+
+
+def replace_collection(rows: DataFrame, path: str, name: str) -> None:
+    """Writes a collection in place of the one of that name; the others under the path stay."""
+    rows.write.mode("overwrite").parquet(_of(path, name))
+
+
+def drop_collection(spark: SparkSession, path: str, name: str) -> bool:
+    """Deletes a collection; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_of(path, name))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unified(spark: SparkSession, path: str) -> DataFrame:
+    """All collections as one table with the column `collection`, which prunes folders; nothing is copied."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def _of(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/collection={quote(name, safe='')}"
