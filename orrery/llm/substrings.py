@@ -2,12 +2,15 @@
 
 Super-k-mer partitioning. The minimiser of a window is its 16-word run of the least hash (leftmost among equals).
 Consecutive windows with the same minimiser travel as one packed string to the minimiser's bucket; a window's minimiser
-depends on its words alone, so equal windows always meet. A bucket's strings are sorted by doc_id, and exact windows are
-counted as they stream by: a window seen under a smaller doc_id is a repeat. Before that, minimisers are counted over all
-documents, and a Bloom filter (bounded bits) keeps at home the strings whose minimiser occurs in one document only.
+depends on its words alone, so equal windows always meet. A bucket's windows are sorted by their words and doc_id: in
+each run of equal windows those of a larger doc_id than the first are repeats. Before that, minimisers are counted over
+all documents, and a Bloom filter (bounded bits) keeps at home the strings whose minimiser occurs in one document only.
 
 A minimiser with more than `hot` occurrences (at least a millionth of all, so at most a million of them exist) would
-make one task large: its windows travel as 128-bit digests instead, are pre-aggregated where they are and joined back.
+make one bucket large. Such buckets are split by a second hash, that of the window: their windows are counted first
+(pre-aggregated where they are), go to the split buckets one by one, and are sorted there like all others. Only what one
+window repeats more than `hot` times stays where it is: the least doc_id of these windows (again at most a million) is
+sent to all tasks, under 128-bit digests of the windows.
 
 Edge cases: a null text has no words; a null doc_id neither removes nor loses words; rows of the same doc_id don't
 remove each other's words; empty and short texts (under 50 words) lose none; an empty table gives no rows; further
@@ -87,6 +90,61 @@ def bloom(keys: DataFrame, count: int, scratch: Scratch) -> np.ndarray:
     return out
 
 
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def key_of(digest: bytes) -> int:
+    """The bucket of a window whose minimiser's bucket is split."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
+def repeats(buckets: np.ndarray, ids: np.ndarray, packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last window of the runs of windows that a smaller id also has in the same bucket.
+
+    Words are numbered, windows sorted by (bucket, hash of the numbers, id), and neighbours compared number by number;
+    should two different windows share a hash, they are sorted by their numbers themselves.
+    """
+    numbers: dict[bytes, int] = {}
+    words = [p.split() for p in packed]
+    w = np.fromiter((numbers.setdefault(x, len(numbers)) for row in words for x in row), np.int32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    n = np.maximum(size - window + 1, 0)
+    row = np.repeat(np.arange(len(words)), n)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    if not len(row):
+        return row, inside, inside
+    at = np.repeat(np.cumsum(size) - size, n) + inside
+    v, h = mix(w.astype(np.uint64) + np.uint64(1)), np.zeros(len(w) - window + 1, np.uint64)
+    for k in range(window):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + v[k : k + len(h)]
+
+    def order(h):
+        by = np.lexsort((ids[row], h, buckets[row]))
+        equal = (h[by[1:]] == h[by[:-1]]) & (buckets[row[by[1:]]] == buckets[row[by[:-1]]])
+        return by, equal
+
+    h = h[at]
+    by, equal = order(h)
+    x, y = at[by[1:][equal]], at[by[:-1][equal]]
+    if any((w[x + k] != w[y + k]).any() for k in range(window)):
+        h = np.unique(w[at[:, None] + np.arange(window)], axis=0, return_inverse=True)[1].reshape(-1)
+        by, equal = order(h)
+    run = np.flatnonzero(np.r_[True, ~equal])
+    least = np.repeat(ids[row[by[run]]], np.diff(np.r_[run, len(by)]))
+    found = np.sort(by[ids[row[by]] > least])
+    if not len(found):
+        return found, found, found
+    new = np.flatnonzero(np.r_[True, (np.diff(found) != 1) | (np.diff(row[found]) != 0)])
+    last = np.r_[new[1:] - 1, len(found) - 1]
+    return row[found[new]], inside[found[new]], inside[found[last]]
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, hot: int = 20_000) -> DataFrame:
     """(doc_id, text_hash, start, stop): word ranges, stop exclusive, that windows repeated from smaller ids cover."""
     spark = docs.sparkSession
@@ -110,14 +168,46 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, h
     seen = rows.select("doc_id", "text").mapInArrow(count, "doc_id long, mini long")
     seen = seen.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     seen = scratch.table(seen.select("mini", "n"), "minis")
-    n_keys, total = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(hot, total // 1_000_000)
     often = np.array(sorted(r[0] for r in seen.where(F.col("n") > limit).select("mini").toLocalIterator()), np.int64)
-    shared = spark.sparkContext.broadcast((bloom(seen, n_keys, scratch), often))
+    keys, least = seen.where(F.col("n") <= limit).select("mini"), {}
+    if len(often):
+        wanted = spark.sparkContext.broadcast(often)
+
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, 1, 1 << 20):
+                    ids, found = [], []
+                    for i, text in zip(part.column(0).to_pylist(), texts_of(part.column(1))):
+                        words = text.split()
+                        if len(words) < window:
+                            continue
+                        mini, first, last = segments(words, window, m)
+                        for k in np.flatnonzero(among(mini.view(np.int64), wanted.value)):
+                            for j in range(first[k], last[k] + 1):
+                                ids.append(i)
+                                found.append(digest_of(words[j : j + window]))
+                    if ids:
+                        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "digest"])
+
+        each = rows.select("doc_id", "text").mapInArrow(digests, "doc_id long, digest binary").groupBy("digest")
+        each = each.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+        each = scratch.table(each.select("digest", "lo", "n"), "windows")
+        many = max(hot, each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1_000_000)
+        least = {bytes(r["digest"]): r["lo"] for r in each.where(F.col("n") > many).select("digest", "lo").toLocalIterator()}
+        key = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
+        keys = keys.union(each.where(F.col("n") <= many).select(key.alias("mini")))
+    shared = spark.sparkContext.broadcast((bloom(keys, keys.count(), scratch), often, least))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, often = shared.value
+        bits, often, least = shared.value
         mask = np.uint64(8 * len(bits) - 1)
+
+        def wanted(keys: np.ndarray) -> np.ndarray:
+            place = keys & mask
+            return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
         for batch in batches:
             for part in pieces(batch, 2, 1 << 20):
                 out = []
@@ -126,60 +216,50 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, h
                     if len(words) < window:
                         continue
                     mini, first, last = segments(words, window, m)
-                    place = mini & mask
-                    some = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
-                    at = np.flatnonzero(some)
-                    keys = mini[at].view(np.int64)
-                    is_hot = np.isin(keys, often) if len(often) else np.zeros(len(at), bool)
-                    for k, a, b, x in zip(keys.tolist(), first[at].tolist(), last[at].tolist(), is_hot.tolist()):
-                        out.append((k, i, h, a, b" ".join(words[a : b + window]), x))
+                    split = among(mini.view(np.int64), often)
+                    at = np.flatnonzero(wanted(mini) & ~split)
+                    for k, a, b in zip(mini[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist()):
+                        out.append((k, i, h, a, b + window, b" ".join(words[a : b + window])))
+                    gone = np.zeros(len(words) - window + 2, np.int8)
+                    for k in np.flatnonzero(split):
+                        for j in range(first[k], last[k] + 1):
+                            digest = digest_of(words[j : j + window])
+                            if digest in least:
+                                gone[j] = least[digest] < i
+                            elif wanted(np.array([key_of(digest)], np.int64).view(np.uint64))[0]:
+                                out.append((key_of(digest), i, h, j, j + window, b" ".join(words[j : j + window])))
+                    edges = np.flatnonzero(np.diff(gone, prepend=0)).tolist()
+                    for a, b in zip(edges[::2], edges[1::2]):  # decided here: travels to any bucket, without words
+                        out.append((h ^ a, i, h, a, b - 1 + window, None))
                 if out:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], ["mini", "doc_id", "text_hash", "start", "packed", "hot"])
-
-    sent = rows.mapInArrow(send, "mini long, doc_id long, text_hash long, start long, packed binary, hot boolean")
-    if len(often):
-        sent = scratch.table(sent, "sent")
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 5 + (pa.binary(),))], ["mini", "doc_id", "text_hash", "start", "stop", "packed"])
 
     def sort_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first = None, {}
-        for batch in batches:
-            out = []
-            for k, i, h, start, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != now:
-                    now, first = k, {}
-                words = packed.split()
-                a = None
-                for j in range(len(words) - window + 1):
-                    if first.setdefault(hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest(), i) < i:
-                        if a is None:
-                            a = j
-                    elif a is not None:
-                        out.append((i, h, start + a, start + j - 1 + window))
-                        a = None
-                if a is not None:
-                    out.append((i, h, start + a, start + len(words)))
+        held: list[tuple] = []
+
+        def done(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+            out = [x[1:5] for x in part if x[5] is None]
+            part = [x for x in part if x[5] is not None]
+            if part:
+                key, ids = (np.fromiter((x[c] for x in part), np.int64, len(part)) for c in (0, 1))
+                for r, a, b in zip(*(c.tolist() for c in repeats(key, ids, [x[5] for x in part], window))):
+                    _, i, h, start, _, _ = part[r]
+                    out.append((i, h, start + a, start + b + window))
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "text_hash", "start", "stop"])
 
-    ranges = "doc_id long, text_hash long, start long, stop long"
-    cold = sent.where("not hot").drop("hot").repartition("mini").sortWithinPartitions("mini", "doc_id").mapInArrow(sort_count, ranges)
-    if not len(often):
-        return cold
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, h, start, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                words = packed.split()
-                for j in range(len(words) - window + 1):
-                    out.append((hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest(), i, h, start + j))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["digest", "doc_id", "text_hash", "start"])
-
-    each = scratch.table(sent.where("hot").select("doc_id", "text_hash", "start", "packed").mapInArrow(digests, "digest binary, doc_id long, text_hash long, start long"), "hot")
-    least = each.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("least"))
-    warm = each.join(least, F.col("digest") == F.col("d")).where("least < doc_id")
-    return cold.union(warm.select("doc_id", "text_hash", "start", (F.col("start") + window).alias("stop")))
+            held.extend(zip(*(c.to_pylist() for c in batch.columns)))
+            if held and held[0][0] != held[-1][0]:
+                cut = len(held) - 1
+                while held[cut - 1][0] == held[-1][0]:
+                    cut -= 1
+                yield from done(held[:cut])
+                held = held[cut:]
+        yield from done(held)
+
+    sent = rows.mapInArrow(send, "mini long, doc_id long, text_hash long, start long, stop long, packed binary")
+    return sent.repartition("mini").sortWithinPartitions("mini").mapInArrow(sort_count, "doc_id long, text_hash long, start long, stop long")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, hot: int = 20_000) -> DataFrame:

@@ -282,6 +282,37 @@ def test_substrings(docs, hot):
     assert got == sorted(want)
 
 
+def test_frequent_passages_with_other_words_around(spark):
+    """A common opening of 20 words, a common passage of 60, and copies: all exceed the count from which buckets are split."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    opening, passage = [word() for _ in range(20)], [word() for _ in range(60)]
+    rows = []
+    for i in range(60):
+        own = [word() for _ in range(80)]
+        rows.append((100 - i, " ".join(opening + own[:40] + (passage if i % 3 else passage[:49]) + own[40:])))
+    rows += [(200 + i, rows[4][1]) for i in range(30)] + [(200, rows[7][1]), (201, None)]
+    first, want = {}, []
+    for i, text in sorted(rows, key=lambda x: x[0]):
+        w = words(text)
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone[k : k + 50] = [True] * 50
+        want.append((i, len(w), sum(gone)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 5, 35, 20_000):
+        assert sorted(map(tuple, substrings.dedup_substrings(df, hot=hot).select("doc_id", "n_words", "n_removed").collect())) == sorted(want), hot
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    packed = [b"a b c", b"a b d", b"a b c d"]
+    want = [x.tolist() for x in substrings.repeats(np.zeros(3, np.int64), np.array([1, 2, 3]), packed, 3)]
+    assert want == [[2], [0], [0]]
+    monkeypatch.setattr(substrings, "mix", lambda x: x * np.uint64(0))
+    assert [x.tolist() for x in substrings.repeats(np.zeros(3, np.int64), np.array([1, 2, 3]), packed, 3)] == want
+
+
 def test_flac_round_trip_and_blocks(spark, docs):
     got = {(r["doc_id"], r["n_bytes"]): r for r in flac.read_back(docs).collect()}
     for i, t, *_ in table():
