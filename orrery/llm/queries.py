@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, flac, langid, licenses, mixing, neardup, packing, quality, secretscan, substrings
+from . import alignment, bytebpe, chatformat, flac, langid, licenses, mixing, neardup, packing, phrases, quality, secretscan, substrings
 from .common import Scratch, n_words
 
 
@@ -75,12 +75,52 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), n_words(F.col("text")), F.xxhash64("text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality_rules, op3_minhash_near_dedup, op4_substring_dedup, op5_flac_media, op6_source_mixing, op7_secret_scan, op8_language_id, op9_chat_format, op10_best_fit_packing)
+    for f in (op1_license_scan, op2_quality_rules, op3_minhash_near_dedup, op4_substring_dedup, op5_flac_media, op6_source_mixing, op7_secret_scan, op8_language_id, op9_chat_format, op10_best_fit_packing, op11_token_alignment, op12_phrases, op13_byte_bpe)
 }
 
 ORACLE: dict[str, str] = {
+    "op12_phrases": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces
+), n as (select lang, sum(len(words))::bigint as n from w group by lang
+), grams as (
+  select lang, k, array_to_string(words[i : i + k - 1], ' ') as phrase
+  from (select lang, words, k, unnest(range(1, len(words) - k + 2)) as i from w, (select unnest([1, 2, 3, 4]) as k) where len(words) >= k)
+), f as (select lang, k, phrase, count(*)::bigint as a from grams group by all having count(*) >= 30
+), cuts as (
+  select lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1 : cut], ' ') as head, array_to_string(string_split(phrase, ' ')[cut + 1 :], ' ') as rest
+  from (select *, unnest(range(1, k)) as cut from f where k >= 2)
+), scored as (
+  select c.lang, c.phrase, c.a, x.a as l, y.a as r, (2000000::hugeint * c.a // (x.a::hugeint + y.a))::bigint as score,
+    row_number() over (partition by c.lang, c.phrase order by 2000000::hugeint * c.a // (x.a::hugeint + y.a), cut) as best
+  from cuts c join f x on c.lang = x.lang and c.head = x.phrase join f y on c.lang = y.lang and c.rest = y.phrase
+), inner_parts as (
+  select lang, array_to_string(string_split(phrase, ' ')[i : i + m - 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from f where k >= 3)) group by 1, 2
+), kept as (
+  select s.* from scored s left join inner_parts p on s.lang = p.lang and s.phrase = p.phrase
+  where best = 1 and (longer is null or 100::hugeint * longer < 80::hugeint * s.a)
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
     "op9_chat_format": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
