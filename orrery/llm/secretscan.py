@@ -10,11 +10,14 @@ The models are one table of log ratios over pairs of ALPHABET characters, so its
 pairs, counted and smoothed by Spark. Samples are generated by rule (SAMPLES rows a label) unless given.
 
 Edge cases: a null text counts as empty and has no spans; equal texts have equal spans; repeated rows stay repeated; an
-empty table gives no rows; further columns are ignored whatever their names.
+empty table gives no rows; further columns are ignored whatever their names. A very long text is one row of a task; work on it
+grows with its length: matches are cut off once, positions come from running sums by blocks, spans meet in one sorted pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,25 +82,86 @@ def train(labelled: DataFrame) -> list[float]:
     return np.round(logp[1] - logp[0], 6).ravel().tolist()
 
 
-def found(text: Column, pattern: str, kind: str, group_from: int = 0) -> Column:
-    """Array of (start, rank, stop, kind) of the matches of a pattern, from the pieces between them: no match is looked for twice."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+#: Values of a running sum that are copied as one array grows; characters of a piece of text that a cut reads from its start.
+BLOCK, PIECE = 64, 256
+SPAN = "struct<start:int,rank:int,stop:int,text:string>"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once, however often a function of a higher order asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """What plus makes of the first 0, 1, ... n of n numbers, from 0: an array of n + 1.
+
+    An array grows by being copied, so this is done for blocks, blocks of their totals, and those' totals: linear up to
+    BLOCK ** 3 numbers, and beyond that but for a share of 1 in BLOCK ** 4."""
+    none = F.array().cast("array<array<int>>")
+    grown = lambda v: F.aggregate(v, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(plus(F.element_at(acc, -1), x))))
+    block = lambda v: lambda i: grown(F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+    blocks = lambda values: let(values, lambda v: F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), block(v))).otherwise(none))
+    totals = lambda bs: F.transform(bs, lambda b: F.element_at(b, -1))
+
+    def whole(one: Column, two: Column, three: Column) -> Column:
+        outer = lambda i: F.floor(i / BLOCK).cast("int")
+        start = lambda i: plus(F.get(three, outer(i)), F.get(F.get(two, outer(i)), F.pmod(i, F.lit(BLOCK))))
+        each = F.transform(one, lambda b, i: let(start(i), lambda s: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: plus(s, x))))
+        return F.concat(F.flatten(each), F.array(F.element_at(three, -1)))
+
+    return let(blocks(values), lambda one: let(blocks(totals(one)), lambda two: let(grown(totals(two)), lambda three: whole(one, two, three))))
+
+
+def add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def found(text: Column, pattern: str, kind: str, group_from: int = 0, keep_text: bool = False) -> Column:
+    """Array of (start, rank, stop, text) of the matches of a pattern, from the pieces between them: no match is looked for twice."""
     rank = KINDS.index(kind)
-    span = lambda start, length: F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + length).alias("stop"))
-    zipped = F.arrays_zip(matches.alias("m"), F.transform(gaps, lambda g: F.length(g)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,stop:int>>").alias("spans"))
     keep = (lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN}$", 2)) >= LEAST["assign"]) if group_from else (lambda m: F.lit(True))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        length = F.length(x["m"])
-        more = F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(acc["spans"], F.array(span(begin, length)))).otherwise(acc["spans"])
-        return F.struct((begin + F.coalesce(length, F.lit(0))).alias("at"), more.alias("spans"))
+    def spans(matches: Column) -> Column:
+        # lengths of gap, match, gap, match ...: every second running sum is where a match starts or stops
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        lengths = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.array(g, F.length(m))))
+        each = lambda at: F.transform(matches, lambda m, i: F.struct(F.get(at, 2 * i + 1).alias("start"), F.lit(rank).alias("rank"), F.get(at, 2 * i + 2).alias("stop"), m.alias("text")))
+        return F.filter(let(before(lengths, add), each), lambda x: keep(x["text"]))
 
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["spans"])
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    all_spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+    if not keep_text:
+        all_spans = F.transform(all_spans, lambda x: F.struct(x["start"], x["rank"], x["stop"], F.lit(None).cast("string").alias("text")))
+    return F.when(text.rlike(pattern), all_spans).otherwise(F.array()).cast(f"array<{SPAN}>")
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others: all in order of a span's stop and another's start, each with the furthest stop
+    of the others before it."""
+    event = lambda at, kind, x: F.struct(at.alias("at"), F.lit(kind).alias("kind"), x.alias("span"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda x: event(x["stop"], 0, x)), F.transform(others, lambda x: event(x["start"], 1, x))))
+
+    def free(events: Column) -> Column:
+        stops = F.transform(events, lambda e: F.when(e["kind"] == 1, e["span"]["stop"]).otherwise(F.lit(0)))
+        paired = let(before(stops, F.greatest), lambda most: F.transform(events, lambda e, i: F.struct(e.alias("e"), F.get(most, i).alias("most"))))
+        return F.transform(F.filter(paired, lambda p: (p["e"]["kind"] == 0) & (p["most"] <= p["e"]["span"]["start"])), lambda p: p["e"]["span"])
+
+    return let(events, free)
+
+
+def cutter(text: Column, use: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """use(cut), where cut(start, stop) is that part of the text; a cut reads pieces of the text, never the text from its start."""
+
+    def of(pieces: Column) -> Column:
+        def cut(start: Column, stop: Column) -> Column:
+            first, last = (F.floor(x / PIECE).cast("int") for x in (start, stop))
+            piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+            one = F.substring(piece(first), F.pmod(start, F.lit(PIECE)) + 1, stop - start)
+            more = F.concat(F.substring(piece(first), F.pmod(start, F.lit(PIECE)) + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(piece(last), F.lit(1), F.pmod(stop, F.lit(PIECE))))
+            return F.when(first == last, one).otherwise(more)
+
+        return use(cut)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)
 
 
 def ratio(token: Column, table: Column) -> Column:
@@ -110,23 +174,19 @@ def ratio(token: Column, table: Column) -> Column:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text, base and spans, arrays of (start, rank, stop) in order."""
+    """One row per row of docs (doc_id, text): doc_id, text, base and spans, arrays of (start, rank, stop, null) in order."""
     spark = docs.sparkSession
     table = train(samples(spark) if labelled is None else labelled)
     small_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", found(F.col("text"), ASSIGN, "assign", 2).alias("assign"), found(F.col("text"), ACCESS_RUN, "access").alias("access"), found(F.col("text"), HEX_RUN, "hex").alias("hex"), found(F.col("text"), CANDIDATE, "markov").alias("tokens"))
+    rows = rows.select("doc_id", "text", found(F.col("text"), ASSIGN, "assign", 2).alias("assign"), found(F.col("text"), ACCESS_RUN, "access").alias("access"), found(F.col("text"), HEX_RUN, "hex").alias("hex"), found(F.col("text"), CANDIDATE, "markov", keep_text=True).alias("tokens"))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     table = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # one constant, not one expression a pair
 
-    def is_secret(t: Column) -> Column:
-        token = F.substring(F.col("text"), t["start"] + 1, t["stop"] - t["start"])
-        mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-        free = ~F.exists(F.col("base"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-        return free & mixed & (ratio(token, table) >= threshold)
-
-    extra = F.when(F.size("tokens") > 0, F.filter("tokens", is_secret)).otherwise(F.col("tokens"))
-    return rows.select("doc_id", "text", "assign", "access", "hex", "base", extra.alias("markov")).withColumn("spans", F.array_sort(F.concat("base", "markov")))
+    is_secret = lambda t: t["text"].rlike("[0-9]") & t["text"].rlike("[A-Za-z]") & (ratio(t["text"], table) >= threshold)
+    extra = F.when(F.size("tokens") > 0, F.filter(apart(F.col("tokens"), F.col("base")), is_secret)).otherwise(F.col("tokens"))
+    bare = F.transform(extra, lambda x: F.struct(x["start"], x["rank"], x["stop"], F.lit(None).cast("string").alias("text"))).cast(f"array<{SPAN}>")
+    return rows.select("doc_id", "text", "assign", "access", "hex", "base", bare.alias("markov")).withColumn("spans", F.array_sort(F.concat("base", "markov")))
 
 
 def listed(spans: Column) -> Column:
@@ -147,14 +207,16 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
     names = docs.columns
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc_id"), F.col("text"))
     rows = scan(nested, labelled, threshold)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["text"], gap, F.lit(mark))).otherwise(acc["text"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), new.alias("text"))
+    def joined(cut: Callable[[Column, Column], Column]) -> Column:
+        def gaps(most: Column) -> Column:
+            paired = F.transform("spans", lambda x, i: F.struct(F.get(most, i).alias("from"), x["start"].alias("to")))
+            between = F.transform(F.filter(paired, lambda p: p["to"] >= p["from"]), lambda p: cut(p["from"], p["to"]))
+            return F.array_join(F.concat(between, F.array(cut(F.element_at(most, -1), F.length("text")))), mark)
+
+        return let(before(F.transform("spans", lambda x: x["stop"]), F.greatest), gaps)
 
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    whole = cutter(F.col("text"), joined)
     clean = F.when(F.size("spans") > 0, whole).otherwise(F.col("doc_id.text"))
     return rows.select(*[clean.alias(c) if c == "text" else F.col(f"doc_id.`{c}`").alias(c) for c in names])
 
