@@ -5,7 +5,8 @@ back-off weights follow from the different n-grams alone. No n-gram is dropped a
 the gram's bytes and its language's number, mixed by a function that is one to one on 64 bits. Where at most `limit`
 different grams were counted, the driver makes the model of their sorted array and broadcasts it, as a sorted array of keys
 for each order beside arrays of log probabilities and back-off weights; a larger model is made by joins and aggregates and
-stays a table, and each different gram of the texts finds its cost by joins. Both give equal results.
+stays a table, and each different gram of the texts finds its cost by joins. Both round costs to 2^-20 bit and sum whole numbers,
+so their results are equal.
 
 Each language gets bounds on bits per byte from the quartiles of its own texts, over all rows, each different text once (so
 that a crowd of copies does not close the band): a text outside
@@ -41,6 +42,8 @@ NO_LANGUAGE = "\x00none"
 WIDTH, FLOOR = 3.0, 0.01
 #: Different grams up to which a model is made at the driver and broadcast; a Python worker holds about 40 bytes for each.
 LIMIT = 4_000_000
+#: Log probabilities and weights are whole multiples of 1 / UNIT bit, so that their sums do not depend on their order.
+UNIT = 1 << 20
 
 
 def repeated(text: bytes) -> tuple[int, int]:
@@ -222,7 +225,7 @@ def fit(docs: DataFrame, limit: int = LIMIT) -> dict:
     for k in range(ORDER + 1):
         found = np.concatenate([keys(np.uint64(i), m[k][0]) for i, m in enumerate(models)] or [np.zeros(0, np.uint64)])
         by = np.argsort(found)
-        logp, logb = (np.concatenate([m[k][j] for m in models] or [np.zeros(0)]).astype(np.float32)[by] for j in (1, 2))
+        logp, logb = (np.rint(np.concatenate([m[k][j] for m in models] or [np.zeros(0)]) * UNIT).astype(np.int32)[by] for j in (1, 2))
         orders[k] = (found[by], logp, logb)
     return {"langs": langs, "orders": orders}
 
@@ -230,14 +233,14 @@ def fit(docs: DataFrame, limit: int = LIMIT) -> dict:
 class Scorer:
     def __init__(self, model: dict) -> None:
         self.langs = model["langs"]
-        self.orders = {k: (HashArray(h, 64), p.astype(np.float64), b.astype(np.float64)) for k, (h, p, b) in model["orders"].items()}
+        self.orders = {k: (HashArray(h, 64), p.astype(np.int64), b.astype(np.int64)) for k, (h, p, b) in model["orders"].items()}
 
     def bits_of(self, texts: pa.Array, langs: list[str | None]) -> np.ndarray:
         """Bits per byte of each text under the model of its language; nan for a text without bytes."""
         packed, at = grams(texts)
         numbers = [self.langs.get(NO_LANGUAGE if x is None else x, len(self.langs)) for x in langs]
         numbers = np.repeat(np.array(numbers, np.uint64), np.diff(at))
-        cost = np.zeros(len(packed))
+        cost = np.zeros(len(packed), np.int64)
         left, k = np.arange(len(packed)), ORDER
         while k and len(left):
             found, logp, _ = self.orders[k]
@@ -250,10 +253,10 @@ class Scorer:
                 found, _, logb = self.orders[k]
                 context = (packed[left] >> np.uint32(8)) & np.uint32((1 << 8 * k) - 1)
                 index = found.find(keys(numbers[left], context))
-                cost[left] -= np.where(index >= 0, logb[np.maximum(index, 0)], 0.0) if len(logb) else 0.0
-        cost[left] += 8.0
+                cost[left] -= np.where(index >= 0, logb[np.maximum(index, 0)], 0) if len(logb) else 0
+        cost[left] += 8 * UNIT
         n = np.diff(at)
-        return np.where(n > 0, sums(cost, at) / np.maximum(n, 1), np.nan)
+        return np.where(n > 0, sums(cost, at) / np.maximum(n, 1) / UNIT, np.nan)
 
 
 def grams_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,22 +271,28 @@ def grams_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([part.column(2).take(rows), part.column(1).fill_null(NO_LANGUAGE).take(rows), gram, pa.array(n)], ["digest", "lang", "gram", "n"])
 
 
-def joined_bits(docs: DataFrame, table: DataFrame) -> DataFrame:
+def joined_bits(docs: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
     """(bits_digest, bits_lang, bits) of each text and language, by joins with a model of any size; as Scorer.bits_of."""
     held = docs.select("text", "lang", F.sha2("text", 256).alias("digest")).mapInArrow(grams_of_texts, "digest string, lang string, gram long, n long")
-    cost, owed = F.lit(None).cast("double"), F.lit(0.0)
-    each = held.select("lang", "gram").distinct()
+    held = scratch.table(held, "held")
+    cost, owed = F.lit(None).cast("long"), F.lit(0).cast("long")
+    whole = lambda c: F.rint(F.col(c) * UNIT).cast("long")
+    each = held.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("rows"))
     for k in range(ORDER, 0, -1):
         mask = lambda order: F.lit((1 << 8 * order) - 1).cast("long")
-        own = table.where(F.col("order") == k).select("lang", F.col("gram").alias("_g"), F.col("logp").alias(f"logp{k}"))
-        back = table.where(F.col("order") == k - 1).select("lang", F.col("gram").alias("_c"), F.col("logb").alias(f"logb{k}"))
+        own = table.where(F.col("order") == k).select("lang", F.col("gram").alias("_g"), whole("logp").alias(f"logp{k}"))
+        back = table.where(F.col("order") == k - 1).select("lang", F.col("gram").alias("_c"), whole("logb").alias(f"logb{k}"))
         each = each.withColumn("_g", F.col("gram").bitwiseAND(mask(k))).join(own, ["lang", "_g"], "left").drop("_g")
         each = each.withColumn("_c", F.shiftright("gram", 8).bitwiseAND(mask(k - 1))).join(back, ["lang", "_c"], "left").drop("_c")
         cost = F.coalesce(cost, owed - F.col(f"logp{k}"))
-        owed = owed - F.coalesce(F.col(f"logb{k}"), F.lit(0.0))
-    each = each.select("lang", "gram", F.coalesce(cost, owed + 8.0).alias("cost"))
+        owed = owed - F.coalesce(F.col(f"logb{k}"), F.lit(0))
+    each = scratch.table(each.select("lang", "gram", "rows", F.coalesce(cost, owed + 8 * UNIT).alias("cost")), "costs")
+    # Grams that a ten-thousandth of all rows have are ten thousand at most: they are sent to the rows, the others' rows to them.
+    frequent = F.col("rows") > max(1, held.count() // 10_000)
+    hot, rare = F.broadcast(each.where(frequent).drop("rows")), each.where(~frequent).drop("rows")
+    both = held.join(hot, ["lang", "gram"]).unionByName(held.join(hot, ["lang", "gram"], "left_anti").join(rare, ["lang", "gram"]))
     # Copies of a text add to both sums alike.
-    bits = held.join(each, ["lang", "gram"]).groupBy("digest", "lang").agg((F.sum(F.col("n") * F.col("cost")) / F.sum("n")).alias("bits"))
+    bits = both.groupBy("digest", "lang").agg((F.sum(F.col("n") * F.col("cost")) / F.sum("n") / UNIT).alias("bits"))
     return bits.select(F.col("digest").alias("bits_digest"), F.col("lang").alias("bits_lang"), "bits")
 
 
@@ -315,7 +324,7 @@ def score(docs: DataFrame, model: dict, columns: list[str], scratch: Scratch) ->
     scored = rows.mapInArrow(run, fields).select(*named)
     if joined:
         same = (F.col("_digest") == F.col("bits_digest")) & (F.coalesce("_lang", F.lit(NO_LANGUAGE)) == F.col("bits_lang"))
-        scored = scored.join(joined_bits(docs, model["table"]), same, "left").drop("bits_digest", "bits_lang", "_digest").withColumnRenamed("bits", "_bits")
+        scored = scored.join(joined_bits(docs, model["table"], scratch), same, "left").drop("bits_digest", "bits_lang", "_digest").withColumnRenamed("bits", "_bits")
     scored = scratch.table(scored, "scored")
     if shared:
         shared.destroy()

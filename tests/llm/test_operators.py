@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import chatformat, flac, langid, licenses, mixing, neardup, packing, quality, secretscan, substrings
+from orrery.llm import alignment, bytebpe, chatformat, flac, langid, licenses, mixing, neardup, packing, phrases, quality, secretscan, substrings
 from orrery.llm.common import n_words
 
 SF = "/root/testdata/sf0.001"
@@ -91,6 +91,50 @@ def test_license_with_insertions():
     assert not licenses.finds(mit[:60] + far + mit[120:], index, 0.8)
 
 
+def test_licenses_are_not_found_across_other_text():
+    index = licenses.Index(licenses.TEMPLATES)
+    between = [b"other%d" % k for k in range(3000)]
+    for begin in ("he slid under the bridge", "released under embargo"):
+        for n in (0, 20, 3000):
+            assert not licenses.finds(begin.encode().split() + between[:n] + b"the mit license office".split(), index, 0.8) or n == 0
+    assert not licenses.finds(b"under the".split() * 3000, index, 0.8)
+    line = licenses.tokens(b"Released under the MIT License.")
+    assert [x[1:3] for x in licenses.finds(line * 3000, index, 0.8)] == [(5 * k, 5 * k + 5) for k in range(3000)]
+
+
+def test_winnowing_keeps_every_shared_run():
+    r = random.Random(2)
+    for window in (1, 2, 4):
+        hashes = np.array([r.randrange(50) for _ in range(300)], np.uint64)
+        kept = set(licenses.winnow(hashes, window).tolist())
+        assert all(kept & set(range(k, k + window)) for k in range(len(hashes) - window + 1))
+        assert len(kept) <= len(hashes) if window == 1 else len(kept) < 0.8 * len(hashes)
+
+
+def longest_common(a, b):
+    """Words of a longest common subsequence, by the full table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_candidates_against_a_full_alignment():
+    """Template stretches with words changed at random, inside other words: found wherever the full table matches enough of them."""
+    index, r, due, got = licenses.Index(licenses.TEMPLATES), random.Random(8), 0, 0
+    for name, template in zip(index.names, index.words):
+        for _ in range(6):
+            inner = [b"changed" if r.random() < 0.12 else w for w in template]
+            text = [b"w%d" % r.randrange(99) for _ in range(30)] + inner + [b"w%d" % r.randrange(99) for _ in range(30)]
+            if longest_common(text, template) / len(template) >= 0.8:
+                due += 1
+                got += name in {x[0] for x in licenses.finds(text, index, 0.8)}
+    assert due > 50 and got >= 0.95 * due, (got, due)
+
+
 def brute_perplexity(texts):
     """Modified Kneser-Ney over bytes with dictionaries, one language."""
     from collections import Counter, defaultdict
@@ -174,7 +218,8 @@ def test_a_model_too_large_to_broadcast_gives_equal_results(spark, docs):
     assert sorted(map(str, quality.keep_good(docs, limit=1).collect())) == sorted(map(str, quality.keep_good(docs).collect()))
     unseen = spark.createDataFrame([(1, "unseen words here \u00e9", "en"), (2, "abc", "xx")], "doc_id long, text string, lang string")
     a, b = ([x["_bits"] for x in quality.score(unseen, quality.fit(docs, limit=n), ["doc_id"], quality.Scratch(spark, "test")).orderBy("doc_id").collect()] for n in (quality.LIMIT, 1))
-    assert np.allclose(a, b, rtol=1e-6)
+    assert a == b
+    assert [x["bits"] for x in small] == [x["bits"] for x in large]
 
 
 def test_near_duplicates(docs):
@@ -410,6 +455,22 @@ def test_secrets_of_a_whole_table(spark):
         assert got[i]["n_hex"] == sum(x.startswith("hex") for x in base) and set(base) <= set(got[i]["spans"].split(","))
 
 
+def test_secrets_of_long_texts(spark):
+    """Work grows with the length; positions and cuts of many matches agree with regular expressions."""
+    line = "word 0123456789abcdef0123 Xk9dQz7LmW2pRt5vBn8c- password: hunter2hunter2, \u00e9\U0001f600 "
+    rows = [(k, line * n) for k, n in enumerate((1, 63, 64, 65, 4200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secretscan.redact(df).collect()}
+    for r in secretscan.secrets(df).collect():
+        text = dict(rows)[r["doc_id"]]
+        spans = sorted([(m.start(), k, m.end()) for k, p in (("hex", r"[0-9a-f]{16,}"), ("markov", "Xk9dQz7LmW2pRt5vBn8c-"), ("assign", "password: hunter2hunter2")) for m in re.finditer(p, text)])
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        out, at = "", 0
+        for a, _, b in spans:
+            out, at = out + text[at:a] + "[SECRET]", b
+        assert clean[r["doc_id"]] == out + text[at:]
+
+
 def test_markov_models_tell_random_strings_from_names(spark):
     r = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
