@@ -5,11 +5,11 @@ it; a task projects the pointers of a prefix onto the words after it, keeps thos
 depth first. Frequent prefixes of two words are dealt out, each to one task; a prefix of more rows than a task should hold is dealt
 by its third word, and only its own count is then summed over tasks.
 
-What can't be part of a frequent phrase leaves before the shuffle (as in hash-based pruning of pairs): the table is read three
-times. First words, then pairs of words that may be frequent, are counted in arrays of hash slots: one byte a slot that stops
-at 255, so an array has a fixed size (at most 2^26 bytes, and a 2^23 byte bitmap of slots that reach the least count is
-broadcast), whatever the corpus. A slot's count is at least that of each of its words or pairs, so none is lost; a full array
-prunes less, which costs time only. The third reading emits rows (up to four words, times), equal ones of a task summed.
+What can't be part of a frequent phrase leaves before the shuffle (as in hash-based pruning of pairs): the table is read four
+times. First words, then pairs of words that may be frequent, then triples of such pairs, are counted in arrays of hash slots:
+one byte a slot that stops at 255, so an array has a fixed size (at most 2^26 bytes, and a 2^23 byte bitmap of slots that reach the
+least count is broadcast), whatever the corpus. A slot's count is at least that of each of its phrases, so none is lost; a full
+array prunes less, which costs time only. The last reading emits rows (up to four words, times), equal ones of a task summed.
 
 Hard rows: a null text has no words, a null language is `und`, and so are counted with it; equal rows count each time; doc_id
 isn't read, nor are other columns; an empty table, or one without frequent phrases, gives an empty one. A very long text is one
@@ -72,11 +72,23 @@ class Words:
                 out += [np.fromiter(map(known.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
-    def slots(self, words: np.ndarray, bits: int) -> np.ndarray:
-        return (mix(self.hashes[words]) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def pair_slots(self, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-        return (mix(mix(self.hashes[left]) + self.hashes[right]) >> np.uint64(64 - bits)).astype(np.int64)
+    def slots(self, words: np.ndarray, at: np.ndarray, length: int, bits: int) -> np.ndarray:
+        """Slots of the phrases of a length that begin at the places."""
+        mixed = self.hashes[words[at]]
+        for k in range(1, length):
+            mixed = mix(mixed) + self.hashes[words[at + k]]
+        return (mix(mixed) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def may_begin(self, words: np.ndarray, maps: list[Bitmap]) -> list[np.ndarray]:
+        """For each length up to one more than there are maps: does a phrase begin at a place whose shorter parts may all be
+        frequent, and which may be itself as far as there is a map of its length."""
+        out = [words > 0]
+        for length, only in enumerate(maps, 1):
+            here = out[-1]
+            at = np.flatnonzero(here)
+            here[at] = only[self.slots(words, at, length, only.bits)]
+            out.append(here & np.append(here[1:], False))
+        return out
 
 
 class Bitmap:
@@ -109,22 +121,19 @@ def add(counts: np.ndarray, slots: np.ndarray) -> None:
     counts[met] = np.minimum(counts[met] + times, 255)
 
 
-def count_slots(docs: DataFrame, bits: int, words: Bitmap | None) -> dict[int, bytes]:
-    """Bitmap's rows of the slots that have the least count or more: of words, or, given the bitmap of words, of pairs."""
+def count_slots(docs: DataFrame, bits: int, maps: list[Bitmap]) -> dict[int, bytes]:
+    """Bitmap's rows of the slots that have the least count or more, of phrases one word longer than there are maps of shorter ones."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast(maps)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, only = Words(), np.zeros(1 << bits, np.uint8), shared.value
+        known, counts, held = Words(), np.zeros(1 << bits, np.uint8), shared.value
         for batch in batches:
             for piece in pieces(batch, 1):
                 w = known.read(piece)
-                if only is None:
-                    add(counts, known.slots(w[w > 0], bits))
-                else:
-                    may = may_be_frequent(known, w, only)
-                    both = may[:-1] & may[1:]
-                    add(counts, known.pair_slots(w[:-1][both], w[1:][both], bits))
+                if len(w):
+                    at = np.flatnonzero(known.may_begin(w, held)[-1])
+                    add(counts, known.slots(w, at, len(held) + 1, bits))
         yield slot_rows(counts)
 
     width = 1 << min(bits, ROW_BITS)
@@ -145,34 +154,23 @@ def count_slots(docs: DataFrame, bits: int, words: Bitmap | None) -> dict[int, b
     return found
 
 
-def may_be_frequent(known: Words, words: np.ndarray, only: Bitmap) -> np.ndarray:
-    met, back = np.unique(words, return_inverse=True)
-    return ((met > 0) & only[known.slots(met, only.bits)])[back]
-
-
-def windows(docs: DataFrame, words: Bitmap, pairs: Bitmap) -> DataFrame:
-    """(lang, w1, w2, w3, w4, n): single words that may be frequent (w2 null), and from each place where a pair may be frequent up to
-    four words, as far as each pair may be. Equal rows of a batch are one."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+def windows(docs: DataFrame, maps: list[Bitmap]) -> DataFrame:
+    """(lang, w1, w2, w3, w4, n): single words that may be frequent (w2 null), and from each place where a pair may be frequent
+    the longest phrase of up to four words that may be. Equal rows of a batch are one."""
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
     names = ["lang", "w1", "w2", "w3", "w4", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (single, double) = Words(), shared.value
+        known, held = Words(), shared.value
         for batch in batches:
             for piece in pieces(batch, 1, 16 << 20):
                 w = known.read(piece)
                 if not len(w):
                     continue
-                may = may_be_frequent(known, w, single)
-                on = np.zeros(len(w) + LONGEST, bool)  # does a pair that may be frequent begin here
-                both = np.flatnonzero(may[:-1] & may[1:])
-                on[both] = double[known.pair_slots(w[both], w[both + 1], double.bits)]
-                at = np.flatnonzero(on)
-                rows, goes = [w[at]], np.ones(len(at), bool)
-                for k in range(1, LONGEST):
-                    goes = goes & on[at + k - 1]
-                    rows.append(np.where(goes, w[np.minimum(at + k, len(w) - 1)], 0))
-                alone = w[may]
+                may = known.may_begin(w, held)
+                at = np.flatnonzero(may[1])
+                rows = [w[at], *(np.where(may[k][at], w[np.minimum(at + k, len(w) - 1)], 0) for k in range(1, LONGEST))]
+                alone = w[may[0]]
                 table = np.concatenate([np.stack(rows, 1), np.stack([alone, *[np.zeros_like(alone)] * (LONGEST - 1)], 1)]).astype(np.int32)
                 each, n = np.unique(np.ascontiguousarray(table).view(f"V{4 * LONGEST}").ravel(), return_counts=True)
                 each = each.view(np.int32).reshape(-1, LONGEST)
@@ -219,7 +217,7 @@ def grow(rows: DataFrame) -> DataFrame:
                 part = depth == 2 and bool(hot[pointers[start]])
                 if depth >= 2 and (n >= LEAST or part):
                     out.append((longer[0], " ".join(longer[1:]), depth, n))
-                if depth < LONGEST and (n >= LEAST or part):
+                if depth < LONGEST and (depth < 2 or n >= LEAST or part):  # other tasks have occurrences of a language and a first word, too
                     project(pointers[start:stop], depth + 1, longer)
 
         if table.num_rows:
@@ -242,9 +240,10 @@ def collocations(docs: DataFrame, most: int = 2000, lang: Column | None = None)
     n = scratch.table(words, "words")
     total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(SLOT_BITS[1], max(SLOT_BITS[0], int(total // 2).bit_length()))
-    single = Bitmap(bits, count_slots(docs, bits, None))
-    double = Bitmap(bits, count_slots(docs, bits, single))
-    rows = scratch.table(windows(docs, single, double), "windows")
+    maps: list[Bitmap] = []
+    for _ in range(LONGEST - 1):
+        maps.append(Bitmap(bits, count_slots(docs, bits, maps)))
+    rows = scratch.table(windows(docs, maps), "windows")
     alone = rows.where("w2 is null and n >= " + str(LEAST)).select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("a"))
     grown = grow(rows.where("w2 is not null")).groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
     counts = scratch.table(alone.union(grown), "counts")
