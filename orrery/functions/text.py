@@ -88,19 +88,6 @@ def normal_terms(text: Column) -> Column:
     return F.when(F.lower(split) != F.lower(text), F.concat_ws(" ", text, split)).otherwise(text)
 
 
-def mentioned(text: Column, names: list[str]) -> Column:
-    """The name that a text mentions, or null: the longest that it contains, as written or with - for _ and blanks (of equally
-    long ones the first by name), else the first run of 4 to 1 words, joined by -, that is a name."""
-    hyphened = lambda c: F.translate(F.lower(c), "_ ", "--")
-    lower = F.lower(F.trim(text))
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n.lower()).alias("low"), F.lit(n.lower().replace("_", "-").replace(" ", "-")).alias("norm")) for n in sorted(names, key=lambda n: (-len(n), n))])
-    held = F.get(F.filter(table, lambda x: F.contains(lower, x["low"]) | F.contains(hyphened(lower), x["norm"])), F.lit(0))["name"]
-    words = F.filter(F.split(F.translate(lower, "-_", "  "), r"\s+"), lambda w: w != "")
-    runs = F.flatten(F.array(*[F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.array_join(F.slice(words, i, n), "-")) for n in (4, 3, 2, 1)]))
-    by_norm = F.transform(runs, lambda r: F.get(F.filter(table, lambda x: x["norm"] == r), F.lit(0))["name"])
-    return F.coalesce(held, F.get(F.filter(by_norm, lambda x: x.isNotNull()), F.lit(0))) if names else F.lit(None).cast("string")
-
-
 def stamped(line: Column) -> Column:
     """The time at the start of a log line, or null."""
     return F.try_to_timestamp(F.regexp_extract(line, r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)", 1), F.lit("yyyy-MM-dd HH:mm:ss"))

@@ -41,18 +41,6 @@ def within_chunks(chunks: DataFrame, by: str, most: int) -> DataFrame:
     return chunks.groupBy(by).agg(n.alias("n_chunks"), (n > most).alias("too_large"))
 
 
-def map_services(services: DataFrame, repos: DataFrame) -> DataFrame:
-    """(service_name, repo): the first repository (by place) whose path or name is in the working directory, else whose name is
-    in the service's name or holds it. repos (place, name, local_path) is a short list by nature and is sent to all tasks only
-    if Spark finds it small. A service that none fits is left out."""
-    there = F.coalesce("working_directory", F.lit(""))
-    inside = (F.contains(there, F.col("local_path")) & (F.col("local_path") != "")) | (F.contains(there, F.col("name")) & (F.col("name") != ""))
-    low, own = F.lower("service_name"), F.lower("name")
-    alike = F.contains(low, own) | F.contains(own, low)
-    hits = services.join(repos, inside | alike).withColumn("late", F.when(inside, 0).otherwise(1))
-    return hits.groupBy("service_name").agg(F.min(F.struct("late", "place", "name"))["name"].alias("repo"))
-
-
 def with_overrides(tasks: DataFrame, repos: DataFrame, bases: DataFrame) -> DataFrame:
     """(task_id, repo, branch): a task's own source branch, else one that its base folder forces, else its repository's, else master."""
     given = tasks.join(repos.select(F.col("repo").alias("r"), "base", F.col("source_branch").alias("of_repo")), F.col("repo") == F.col("r"), "left")

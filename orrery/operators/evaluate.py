@@ -60,6 +60,63 @@ def cost_per_query(n_docs: Column, doc_tokens: Column, answer_tokens: Column, in
     return {"input_tokens": tokens_in, "total_tokens": tokens_in + answer_tokens, "total_cost": tokens_in / 1000 * in_per_1k + answer_tokens / 1000 * out_per_1k}
 
 
+# Lanczos' coefficients of the logarithm of the gamma function for g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+STEPS, TINY = 3000, 1e-300
+
+
+def log_gamma(x: Column) -> Column:
+    """For x > 0."""
+    series = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:]):
+        series = series + F.lit(c) / (x + i)
+    return F.lit(0.9189385332046727) + (x - 0.5) * F.log(x + 6.5) - (x + 6.5) + F.log(series)
+
+
+def beta_part(x: Column, a: Column, b: Column) -> Column:
+    """Continued fraction of the incomplete beta function, from the front; steps past its limit change nothing."""
+    away = lambda v: F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def add(s: Column, q: Column) -> Column:
+        d, c = 1 / away(1 + q * s["d"]), away(1 + q / s["c"])
+        return state(c, d, s["h"] * c * d)
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.get(F.transform(F.array(add(s, even)), lambda t: add(t, odd)), F.lit(0))
+
+    first = 1 / away(1 - (a + b) * x / (a + 1))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda m: m.cast("double")), state(F.lit(1.0), first, first), step, lambda s: s["h"])
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """Regularised, for 0 <= x <= 1."""
+    front = lambda x, a, b: F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x)) * beta_part(x, a, b) / a
+    inner = F.when(x < (a + 1) / (a + b + 2), front(x, a, b)).otherwise(1 - front(1 - x, b, a))
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inner)
+
+
+def p_value(t: Column, df: Column) -> Column:
+    """Of both sides of Student's distribution."""
+    return incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5))
+
+
+def significance(rows: DataFrame, arm: str, value: str, cost: str) -> DataFrame:
+    """Arms a and b: n, mean, 95th percentile and mean cost of each; t, degrees of freedom and p with equal and unequal (Welch's)
+    variances. An arm of fewer than two values, or two arms without variance, has no t and no p."""
+    g = rows.groupBy(arm).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"), F.percentile(value, F.lit(0.95)).alias("p95"), F.avg(cost).alias("cost"))
+    one = lambda x, c: F.max(F.when(F.col(arm) == x, F.col(c)))
+    r = g.agg(*[one(x, c).alias(f"{c}_{x}") for x in "ab" for c in ("n", "mean", "var", "p95", "cost")])
+    na, nb, va, vb = (F.col(c) for c in ("n_a", "n_b", "var_a", "var_b"))
+    apart, share_a, share_b = F.col("mean_b") - F.col("mean_a"), va / na, vb / nb
+    known = lambda c: F.nullif(c, F.lit(0.0))
+    pooled = ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
+    r = r.withColumns({"t": apart / F.sqrt(known(pooled * (1 / na + 1 / nb))), "df": (na + nb - 2).cast("double"), "welch_t": apart / F.sqrt(known(share_a + share_b)), "welch_df": (share_a + share_b) ** 2 / known(share_a**2 / (na - 1) + share_b**2 / (nb - 1))})
+    return r.withColumns({"p": p_value(F.col("t"), F.col("df")), "welch_p": p_value(F.col("welch_t"), F.col("welch_df"))}).drop("var_a", "var_b")
+
+
 def compare(rows: DataFrame, arm: str, value: str) -> DataFrame:
     """Arms a and b: means, change in per cent and the t statistic with equal variance."""
     g = rows.groupBy(arm).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))

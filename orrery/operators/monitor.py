@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,18 +61,26 @@ def drift(rows: DataFrame, by: str, order: list[str], score: str, first: int = 5
 def admitted(rows: DataFrame, by: str, ts: str, key: str, limit: int = 10, seconds: int = 60) -> DataFrame:
     """Exact sliding limiter: a request passes if fewer than `limit` passed in the `seconds` before it; rejected ones don't count.
 
-    The times that passed fold along each caller's requests, and only the last `limit` are kept."""
-    w = Window.partitionBy(by).orderBy("t", key)
-    r = rows.select(by, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).withColumn("_n", F.row_number().over(w))
-    log = r.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_n", "t", key))).alias("log"))
-    start = F.struct(F.array().cast("array<bigint>").alias("times"), F.array().cast("array<struct<key:bigint,ok:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["times"], lambda t: t > x["t"] - seconds * 1_000_000)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(x["t"]))).otherwise(live).alias("times"), F.concat(acc["out"], F.array(F.struct(x[key].alias("key"), ok.alias("ok")))).alias("out"))
-
-    return log.select(by, F.explode(F.aggregate("log", start, step, lambda a: a["out"])).alias("x")).select(by, F.col("x.key").alias(key), F.col("x.ok").alias("admitted"))
+    A caller's requests come sorted to one task, batch by batch; the task keeps the last `limit` times of the caller at hand."""
+    r = rows.select(by, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    kinds = dict(r.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, times = None, deque()
+        for b in batches:
+            passed = []
+            for caller, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if caller != who:
+                    who, times = caller, deque()
+                while times and times[0] <= t - seconds * 1_000_000:
+                    times.popleft()
+                passed.append(len(times) < limit)
+                if passed[-1]:
+                    times.append(t)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(passed, pa.bool_())], [by, key, "admitted"])
+
+    ordered = r.where("t is not null").repartition(by).sortWithinPartitions(by, "t", key)
+    return ordered.mapInArrow(fold, f"{by} {kinds[by]}, {key} {kinds[key]}, admitted boolean")
 
 
 def survivors(entries: DataFrame, now: Column, size: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, code, evaluate, monitor, search
+from ..operators import catalog, code, evaluate, monitor, names, search, vectors
 from . import fixtures as X
 from .registry import ASKED, COS, ORACLE, asked, bench, docs, events, query, read, sql_tokens
 
@@ -20,7 +20,7 @@ NEAR = f"{ASKED}, near as (select *, row_number() over (partition by query order
 
 def near(spark, d, k):
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
-    hits = search.knn(v, "vec_id", "embedding", asked(spark, d).drop("asked_label"), k).drop("rank")
+    hits = vectors.knn(v, "vec_id", "embedding", asked(spark, d).drop("asked_label"), k).drop("rank")
     rows = docs(spark, d)
     hits = hits.join(rows.select(F.col("doc_id").alias("doc"), "text", "lang", "source"), "doc")
     words = F.concat_ws(" ", "source", "lang", F.lit("the mit license"))
@@ -49,7 +49,7 @@ def search_gates(spark, d):
 
 @query(f"with {ASKED}, c as (select q.query, v.vec_id as doc, round({COS}, 6) as cos, row_number() over (partition by q.query order by round({COS}, 9) desc, v.vec_id) as rank from asked q, embeddings v) select query, doc, round((1 - (1 - cos)) * 100, 1) as similarity from c where rank <= 5")
 def similarity_percents(spark, d):
-    r = search.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 5)
+    r = vectors.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 5)
     return r.select("query", "doc", search.similarity_percent(1 - F.round("cos", 6)).alias("similarity"))
 
 
@@ -76,8 +76,8 @@ def normal_terms(spark, d):
 
 @query(f"with q as (select id, lower(trim(q)) as l from {X.values(ASK_ROWS, 'id', 'q')}), n as (select distinct source as name from documents), h as (select id, name from q, n where contains(l, lower(name)) or contains(replace(replace(l, '_', '-'), ' ', '-'), replace(replace(lower(name), '_', '-'), ' ', '-'))), b as (select id, arg_min(name, lpad((100 - length(name))::varchar, 3, '0') || name) as name from h group by id) select q.id, b.name from q left join b on q.id = b.id")
 def repo_mentions(spark, d):
-    names = [r[0] for r in docs(spark, d).where("source is not null").select("source").distinct().limit(1000).collect()]  # a list of repositories, bounded
-    return X.frame(spark, ASK_ROWS, "id int, q string").select("id", T.mentioned(F.col("q"), names).alias("name"))
+    asks = X.frame(spark, ASK_ROWS, "id int, q string").select("id", F.col("q").alias("text"))
+    return names.mentioned(asks, docs(spark, d).select(F.col("source").alias("name")).distinct())
 
 
 # ---- impact, diffs, coverage -----------------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def impact_candidates(spark, d):
     by_word = rows.where(F.contains("text", F.lit("license"))).select("doc_id", F.lit(1).alias("found_by"))
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
     asked_one = v.where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
-    hits = search.knn(v, "vec_id", "embedding", asked_one, 100).select(F.col("doc").alias("h"))
+    hits = vectors.knn(v, "vec_id", "embedding", asked_one, 100).select(F.col("doc").alias("h"))
     by_vector = rows.join(hits, F.col("doc_id") == F.col("h"), "left_semi").where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", F.lit(2).alias("found_by"))
     return by_word.unionByName(by_vector).groupBy("doc_id").agg(F.min("found_by").alias("found_by"))
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, code, evaluate, monitor, search
+from ..operators import catalog, code, evaluate, monitor, search, vectors
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "hybrid_rrf"
+FLAGSHIP = "hybrid_hashed"
 
 
 def query(sql: str | None = None):
@@ -124,13 +124,13 @@ def knn_sql(on: str = "true", part: str = "query", k: int = 10) -> str:
 @query(knn_sql())
 def knn_batch(spark, d):
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
-    return search.knn(v, "vec_id", "embedding", asked(spark, d), 10).select("query", "doc", "rank", F.round("cos", 6).alias("cos"))
+    return vectors.knn(v, "vec_id", "embedding", asked(spark, d), 10).select("query", "doc", "rank", F.round("cos", 6).alias("cos"))
 
 
 @query(knn_sql("q.label = v.label"))
 def knn_same_label(spark, d):
     v = read(spark, d, "embeddings")
-    return search.knn(v, "vec_id", "embedding", asked(spark, d), 10, F.col("label") == F.col("asked_label")).select("query", "doc", "rank", F.round("cos", 6).alias("cos"))
+    return vectors.knn(v, "vec_id", "embedding", asked(spark, d), 10, ("label", "asked_label")).select("query", "doc", "rank", F.round("cos", 6).alias("cos"))
 
 
 @query(knn_sql(part="query, label", k=3))
@@ -155,7 +155,7 @@ FUSED = BM25 + f", v{ASKED}, near as (select *, row_number() over (partition by
 
 def both(spark, d):
     kwd = search.top(bm25_scores(spark, d), 20)
-    vec = search.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 20)
+    vec = vectors.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 20)
     return kwd, vec
 
 
@@ -180,7 +180,7 @@ def context_budget(spark, d):
 
 @query(f"select query, doc, rank from (select *, max(c) over (partition by query) as best from (select query, doc, rank, cos as c from ({knn_sql().replace('round(cos, 6) as cos', 'cos')}))) where rank <= 3 or best < 0.28")
 def progressive_cutoff(spark, d):
-    hits = search.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 10)
+    hits = vectors.knn(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", asked(spark, d), 10)
     return search.progressive(hits, "cos", 3, 0.28).select("query", "doc", "rank")
 
 
@@ -231,7 +231,7 @@ def drift_check(spark, d):
     return r.select("event_type", *[F.round(c, 6).alias(c) for c in ("baseline", "recent", "change")], "drifted")
 
 
-@query()
+@query("with recursive e as (select user_id, event_id, epoch_us(ts::timestamp) as t, row_number() over (partition by user_id order by ts::timestamp, event_id) as n from events), f as (select user_id, n, event_id, true as admitted, [t] as times from e where n = 1 union all select user_id, n, event_id, len(live) < 3, case when len(live) < 3 then list_append(live, t) else live end from (select e.user_id, e.n, e.event_id, e.t, list_filter(f.times, lambda x: x > e.t - 3600000000) as live from f join e on e.user_id = f.user_id and e.n = f.n + 1)) select user_id, event_id, admitted from f")
 def rate_limit(spark, d):
     return monitor.admitted(events(spark, d), "user_id", "ts", "event_id", 3, 3600)
 
@@ -273,7 +273,7 @@ PER_K = ", ".join(f"round(sum(case when rank <= {k} then hit else 0 end) / {k},
 def retrieval_eval(spark, d):
     v = read(spark, d, "embeddings")
     q = asked(spark, d)
-    found = search.knn(v.select("vec_id", "embedding"), "vec_id", "embedding", q, 10)
+    found = vectors.knn(v.select("vec_id", "embedding"), "vec_id", "embedding", q, 10)
     relevant = q.select("query", F.col("asked_label").alias("label")).join(v.select(F.col("vec_id").alias("doc"), "label"), "label").select("query", "doc")
     r = evaluate.at_k(found.select("query", "doc", "rank"), relevant)
     return r.select("query", *[F.round(c, 6).alias(c) for c in r.columns if c != "query"])

@@ -3,7 +3,7 @@
 import json
 
 from orrery.functions import guards
-from orrery.operators import assistant, chunks, monitor
+from orrery.operators import assistant, chunks, monitor, names
 from orrery.plans import extra
 from orrery.sources import files, sinks
 from orrery.streaming import flows
@@ -39,7 +39,7 @@ def test_services(spark):
     found = files.service_units(units)
     assert rows(found.where("working_directory is not null")) == [("pay-api", "/srv/pay", "/bin/x --y")]
     repos = spark.createDataFrame([(0, "mail-worker", "srv2/mail-worker"), (1, "pay", "srv/pay")], "place int, name string, local_path string")
-    assert rows(assistant.map_services(found, repos)) == [("mail", "mail-worker"), ("pay-api", "pay")]
+    assert rows(names.map_services(found, repos)) == [("mail", "mail-worker"), ("pay-api", "pay")]
 
 
 def test_json_log(spark, tmp_path):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
-from orrery.operators import catalog, code, evaluate, monitor, search
+from orrery.operators import catalog, code, evaluate, monitor, names, search
 from orrery.plans import extra, more, registry  # noqa: F401 (extra registers its queries)
 
 SF = "/root/testdata/sf0.001"
@@ -57,11 +57,11 @@ def test_uuid5_and_stamps(spark):
 
 
 def test_mentions(spark):
-    names = ["order-service", "order", "user_api", "pay gate"]
+    known = spark.createDataFrame([(n,) for n in ("order-service", "order", "user_api", "pay gate", None)], "name string")
     asks = [("how does order-service work", "order-service"), ("the ORDER SERVICE here", "order-service"), ("an order", "order"), ("user-api docs", "user_api"), ("what is PAY_GATE", "pay gate"), ("nothing", None), (None, None)]
-    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(asks)], "i int, a string").orderBy("i")
-    assert [r[0] for r in df.select(T.mentioned(F.col("a"), names)).collect()] == [w for _, w in asks]
-    assert df.select(T.mentioned(F.col("a"), []).alias("x")).where("x is not null").count() == 0
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(asks)], "id int, text string")
+    assert [r["name"] for r in names.mentioned(df, known).orderBy("id").collect()] == [w for _, w in asks]
+    assert names.mentioned(df, known.limit(0)).where("name is not null").count() == 0 and names.mentioned(df, known.limit(0)).count() == len(asks)
 
 
 def test_keyword_boost_normalises_the_repository(spark):
