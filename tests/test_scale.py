@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -108,7 +109,9 @@ def test_sketches_of_a_stream(spark, tmp_path):
 def store(spark):
     for k, v in state.STORE.items():
         spark.conf.set(k, v)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     for k in state.STORE:
         spark.conf.unset(k)
 
@@ -117,9 +120,18 @@ def requests(spark):
     return spark.createDataFrame([(f"u{i % 3}", i, f"2024-01-01 00:{i // 6:02d}:{i % 6 * 10:02d}") for i in range(90)], "u string, k long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(df, path, query, name, mode="append"):
-    q = df.writeStream.format("parquet").option("path", f"{path}/out-{name}").option("checkpointLocation", f"{path}/checkpoint-{name}").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+def run(df, path, name, rows):
+    """Runs a stream until its output has that many rows in all; queries with timers by the clock never end by themselves."""
+    spark = df.sparkSession
+    q = df.writeStream.format("parquet").option("path", f"{path}/out-{name}").option("checkpointLocation", f"{path}/checkpoint-{name}").outputMode("append").start()
+    end = time.time() + 120
+    try:
+        while time.time() < end and q.exception() is None:
+            if any(x["numInputRows"] for x in q.recentProgress) and spark.read.parquet(f"{path}/out-{name}").count() >= rows:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
     assert q.exception() is None
 
 
@@ -127,9 +139,9 @@ def test_limiter_survives_a_restart(spark, tmp_path, store):
     rows = requests(spark)
     want = sorted((r["k"], r["admitted"]) for r in monitor.admitted(rows, "u", "ts", "k", 2, 90).collect())
     stream = lambda: state.limited(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "u", "ts", "k", 2, 90)
-    for part in ("k < 40", "k >= 40"):  # each a run of its own from the checkpoint of the one before
+    for part, n in (("k < 40", 40), ("k >= 40", 90)):  # each a run of its own from the checkpoint of the one before
         rows.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        run(stream(), tmp_path, None, "limited")
+        run(stream(), tmp_path, "limited", n)
     assert sorted((r["k"], r["admitted"]) for r in spark.read.parquet(f"{tmp_path}/out-limited").collect()) == want
     assert 0 < sum(ok for _, ok in want) < len(want)
 
@@ -140,9 +152,9 @@ def test_cache_entries_leave(spark, tmp_path, store):
     want = [(1, None, False), (3, "one", True), (4, "one", True), (5, None, False), (6, None, False)]
     df.where("id < 4").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = lambda: state.answered(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 300)
-    run(stream(), tmp_path, None, "answered")
+    run(stream(), tmp_path, "answered", 2)
     df.where("id >= 4").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run(stream(), tmp_path, None, "answered")
+    run(stream(), tmp_path, "answered", 5)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out-answered").collect())) == want
 
 
