@@ -1,4 +1,8 @@
-"""A training-data pipeline of five stages. Each takes (spark, docs, sf_dir); what it returns is written and read as the next one's docs."""
+"""A training-data pipeline of five stages. Each takes (spark, docs, sf_dir); what it returns is written and read as the next one's docs.
+
+All stages take rows with nulls in any column, equal rows (each is a row of its own), an empty table (which gives an empty one) and further
+columns of any name. A very long text is one row of a task, whose work is in proportion to its length; none is cut.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,27 @@ from orrery.llm.queries import WEIGHTS, domain
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the perplexity bounds reject go."""
+    """Documents that the base rules or the perplexity bounds reject go; so do those without text. A document on a bound stays."""
     return quality.keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the least doc_id; documents without words are in no group and stay."""
     return neardup.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that look like secrets become a mark; no document goes."""
+    """Spans that look like secrets become a mark; no document goes, and a null text stays null."""
     return secretscan.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's budget takes them (at most 4 times)."""
+    """Documents as often as their source's budget takes them (at most 4 times); null languages and sources are leaves of their own."""
     return mixing.apply_mix(docs, domain(), WEIGHTS, 100, 4, 7)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 512 to 4096 words."""
+    """The pieces of all documents in sequences of 512 to 4096 words; a document without words has none."""
     return packing.pack(docs, n_words(F.col("text")), F.xxhash64("text"))
 
 
