@@ -187,3 +187,30 @@ def test_p_values(spark):
     x = 6 / (6 + 3)
     assert abs(r["p"] - (1 - math.sqrt(1 - x) * (1 + x / 2 + 3 * x * x / 8))) < 1e-9  # the closed form for 6 degrees of freedom
     assert evaluate.significance(arms.where("v > 7"), "arm", "v", "c").first()["p"] is None
+
+
+def test_best_of_files_needs_no_list_of_pairs(crowd, spark, monkeypatch):
+    v, df = crowd
+    cos, of = v @ v.T, {i: 49 if 49 <= i < 60 else i for i in range(1200)}
+    files = df.select("id", (F.col("id") % 7).cast("string").alias("file"))
+    want = {}
+    for i in range(1200):
+        for j in range(1200):
+            if i % 7 < j % 7 and of[i] == i and of[j] == j and cos[i, j] >= 0.9:
+                key = (str(i % 7), str(j % 7))
+                want[key] = min(want.get(key, (9,)), (-round(cos[i, j], 9), i, j))
+    met = []
+    monkeypatch.setattr(vectors, "banded_pairs", lambda *a, **k: met.append(a))
+    for steps in (vectors.STEPS, ((0.95, 12),), ()):
+        monkeypatch.setattr(vectors, "STEPS", steps)
+        got = vectors.best_of_files(df, "id", "v", files, 0.9).collect()
+        assert {(r["file_a"], r["file_b"]): (-round(r["cos"], 9), r["a"], r["b"]) for r in got} == want and len(want) == 21
+    assert not met
+
+
+def test_hashed_rows_of_one_key_count_together(spark):
+    rows = spark.createDataFrame([(1, ["ab", "cd"]), (1, ["ab"]), (2, ["ab", "ab", "cd"]), (3, []), (4, None)], "id long, w array<string>")
+    got = {r["key"]: r["vector"] for r in vectors.hashed(rows, "id", F.col("w")).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2] and len(got[1]) == 64
+    plan = vectors.hashed(rows, "id", F.col("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row a word
