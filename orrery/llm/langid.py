@@ -31,6 +31,8 @@ from .common import HashArray, mix, pieces, small_batches, sums, texts_of, utf8
 
 ORDER = 3
 EXCERPT = 8
+#: Tasks that count the sample's strings, at most.
+COUNTERS = 8
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -59,14 +61,21 @@ def tree(strings: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
 
 
 def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, string, n) of whole texts: the ORDER + 1 bytes that end at each byte."""
+    """(lang, string, n) of whole texts: the ORDER + 1 bytes that end at each byte; a task sends a string of a language once."""
+    names: dict[str, int] = {}
+    both, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         for part in pieces(batch, 1):
             data, at = utf8(part.column(1))
             langs = part.column(0).dictionary_encode()
-            owner = np.repeat(langs.indices.to_numpy().astype(np.uint64), np.diff(at))
-            both, n = np.unique(owner << np.uint64(32) | packed(data, at), return_counts=True)
-            yield pa.record_batch([langs.dictionary.take(pa.array((both >> np.uint64(32)).astype(np.int64))), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["lang", "string", "n"])
+            index = np.array([names.setdefault(x, len(names)) for x in langs.dictionary.to_pylist()], np.uint64)
+            owner = np.repeat(index[langs.indices.to_numpy()], np.diff(at))
+            new, times = np.unique(owner << np.uint64(32) | packed(data, at), return_counts=True)
+            both, place = np.unique(np.concatenate([both, new]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n, times]), len(both)).astype(np.int64)
+    if len(both):
+        langs = pa.array(list(names), pa.string()).take(pa.array((both >> np.uint64(32)).astype(np.int64)))
+        yield pa.record_batch([langs, pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["lang", "string", "n"])
 
 
 def look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +166,7 @@ def fit(docs: DataFrame, sample_docs: int = 400) -> dict:
     ids = ids.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("hash").alias("h")).distinct()
     sample = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("hash") == F.col("h")), "left_semi")
     sample = sample.dropDuplicates(["doc_id", "lang", "hash"]).select("lang", "text")  # a row that repeats teaches once
+    sample = sample.coalesce(COUNTERS)  # the sample is bounded, and the more tasks the more often they send the same strings
     got = sample.mapInArrow(count_strings, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").combine_chunks().dictionary_encode()
     lang, string, n = names.indices.to_numpy(), got.column("string").to_numpy().astype(np.uint32), got.column("n").to_numpy()

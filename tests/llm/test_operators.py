@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -629,3 +630,12 @@ def test_mixing_numbers_rows_that_agree_with_the_last(spark):
     for percent in (10, 37, 60, 100, 150):
         got = mixing.apply_mix(df, F.lit("d"), {}, percent, 4)
         assert got.select(F.sum(n_words(F.col("text")))).first()[0] == 36 * percent // 100
+
+
+def test_language_strings_are_sent_once_a_task():
+    rows = [pa.record_batch([pa.array(["en", "de"]), pa.array(["the the", "der"])], ["lang", "text"]), pa.record_batch([pa.array(["de", "en"]), pa.array(["der", "the"])], ["lang", "text"])]
+    got = [(x["lang"], x["string"], x["n"]) for b in langid.count_strings(iter(rows)) for x in b.to_pylist()]
+    assert len({x[:2] for x in got}) == len(got) and sum(x[2] for x in got) == 16
+    the = int.from_bytes(b"\0the")
+    assert ("en", the, 2) in got and ("de", int.from_bytes(b"\0der"), 2) in got
+    assert not list(langid.count_strings(iter([])))
