@@ -28,6 +28,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
@@ -58,7 +59,7 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Tokens of data: the adjacent pair of least rank, leftmost first, becomes one token until no pair is a token."""
     n = len(data)
     if n <= LEAF_BYTES:
-        return merge_few([data[i : i + 1] for i in range(n)], ranks)
+        return merge_few(data, ranks)
     parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(ranks[p], i, p) for i in range(n - 1) if (p := data[i : i + 2]) in ranks]
@@ -78,19 +79,19 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p in parts if p is not None]
 
 
-def merge_few(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """The same by looking at all pairs each time, which is quicker for few bytes."""
-    none = len(ranks) + 256
-    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+def merge_few(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same by looking at all pairs each time, which is quicker for few bytes. Parts are known by their bounds in data."""
+    none, rank = len(ranks) + 256, ranks.get
+    bounds = list(range(len(data) + 1))
+    pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
     while pairs and (least := min(pairs)) < none:
         i = pairs.index(least)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
+        del pairs[i], bounds[i + 1]
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            pairs[i] = rank(data[bounds[i] : bounds[i + 2]], none)
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-    return parts
+            pairs[i - 1] = rank(data[bounds[i - 1] : bounds[i + 1]], none)
+    return [data[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
 def join(left: list[bytes], right: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -147,13 +148,13 @@ class Codec:
         self.match = regex.compile(pattern).findall
         self.runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.decimal = {rank: str(rank) for rank in self.tokens}
+        self.four = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.kept = Kept(self)
 
     def code(self, match: str) -> bytes:
         """Ids of one match, four bytes each."""
         data = match.encode()
-        ids = [self.ranks[data]] if data in self.ranks else [self.ranks[t] for t in encode_match(data, self.ranks)]
-        return np.array(ids, "<i4").tobytes()
+        return self.four[data] if data in self.four else b"".join(map(self.four.__getitem__, encode_match(data, self.ranks)))
 
     def leaf(self, text: str) -> Part:
         codes = list(map(self.kept.__getitem__, matches := self.match(text)))
@@ -220,12 +221,18 @@ class Codec:
         return np.array([self.ranks[t] for t in found], "<i4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, pattern: str) -> Codec:
+    """One codec a worker process, so that its next task finds the strings that are remembered."""
+    return Codec(ranks_of(path), pattern)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by spaces), decoded_sha256 (bytes of the decoded ids)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks_of(path), pattern)
+        codec = codec_of(path, pattern)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         for batch in batches:
             for piece in pieces(batch, 1):
@@ -245,7 +252,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks_of(path), pattern)
+        codec = codec_of(path, pattern)
         for batch in batches:
             for piece in pieces(batch, 1):
                 ids = [codec.encode(text or "") for text in piece.column(1).to_pylist()]
