@@ -26,6 +26,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -118,6 +119,12 @@ class Pair:
                 del self.kept[run]
 
 
+@lru_cache(maxsize=1)
+def pair_of(a_path: str, b_path: str) -> Pair:
+    """One pair a worker process, so that its next task finds the vocabularies and the runs that are remembered."""
+    return Pair(a_path, b_path)
+
+
 def tokenized(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per row: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (a, b, and how often the row links them)."""
     small_batches(docs.sparkSession)
@@ -125,7 +132,7 @@ def tokenized(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        both = Pair(a_path, b_path)
+        both = pair_of(a_path, b_path)
         for batch in batches:
             for piece in pieces(batch, 1):
                 n_a, n_b, n, digest, rows, links = [], [], [], [], [], []

@@ -200,3 +200,13 @@ def test_scores_past_64_bits(spark):
     rows = [("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big - 1)]
     got = phrases.score(spark.createDataFrame(rows, "lang string, phrase string, k int, a long")).collect()
     assert [r["score"] for r in got] == [2_000_000 * (big - 1) // (2 * big)]
+
+
+def test_tasks_of_one_process_share_what_they_remember():
+    codec = bytebpe.codec_of(RANKS, P.PATTERN)
+    codec.encode(" abcdexyz")
+    again = bytebpe.codec_of(RANKS, P.PATTERN)
+    assert again is codec and " abcdexyz" in again.kept
+    assert alignment.pair_of(A, B) is alignment.pair_of(A, B)
+    for text in ("", "x", "unbelievable", "aaaaaaaaaaa", "zürück…", "   \n"):
+        assert codec.encode(text).tolist() == tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={}).encode_ordinary(text)
