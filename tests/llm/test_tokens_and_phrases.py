@@ -7,7 +7,9 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -186,6 +188,57 @@ def test_phrases_with_full_slots(prose, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(prose).collect())) == brute_phrases([(r["text"], r["lang"]) for r in prose.collect()])
 
 
+def test_phrases_read_the_table_four_times(prose, tmp_path):
+    """The words of each language are counted with the first slots, by no reading of their own."""
+    readings = tmp_path / "readings"
+
+    def noted(batches):
+        with open(readings, "a") as f:
+            f.write("x")
+        yield from batches
+
+    assert phrases.collocations(prose.coalesce(1).mapInArrow(noted, prose.schema)).count() > 50
+    assert readings.read_text() == "xxxx"
+
+
+def test_words_of_blocks():
+    """Small batches are read together; words, pieces and hashes are those of the texts, whatever the words' lengths."""
+    r = random.Random(5)
+    odd = ["a" * k + z for k in (0, 1, 6, 7, 8, 14, 15, 16, 62, 63, 64, 65, 200) for z in "bc\x00\u00e9"] + ["x\x1cy", "\xa0", "NEW", "new"]
+    texts = ["".join(r.choice(odd) + r.choice([" ", " \t ", ", ", "\r\n", " . ; "]) for _ in range(r.randrange(40))) for _ in range(60)]
+    rows = [(r.choice(["en", "de", ""]), t) for t in [*texts, "", None, "end", "", "of text", " ", ".", " x", "x "]]
+    batches = [pa.record_batch([pa.array(x, pa.string()) for x in zip(*rows[at : at + 7], strict=True)], ["lang", "text"]) for at in range(0, len(rows), 7)]
+    assert [b.num_rows for b in phrases.blocks(iter(batches))] == [len(rows)]
+    assert sum(b.num_rows for b in phrases.blocks(iter(batches), 500)) == len(rows) and len(list(phrases.blocks(iter(batches), 500))) > 5
+    block = next(phrases.blocks(iter(batches)))
+    words = phrases.Words(block)
+    want = []
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            found = re.findall("[^\x20\x09]+", piece)
+            want += [(lang, w, i + 1 < len(found)) for i, w in enumerate(found)]
+    number, names = words.numbered()
+    names, langs = names.to_pylist(), words.langs.to_pylist()
+    got = [(langs[k], names[i], go) for k, i, go in zip(words.lang.tolist(), number.tolist(), words.goes_on.tolist(), strict=True)]
+    assert got == want and len(want) > 500
+    of = defaultdict(set)
+    for (lang, w, _), h in zip(got, words.hashes.tolist(), strict=True):
+        of[lang, w].add(h)
+    assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+    assert [list(x) for x in phrases.Words(block.slice(0, 0)).may_begin([])[0]] == [[]]
+
+
+def test_slots_travel_whole():
+    counts = np.zeros(1 << 20, np.uint8)
+    at = np.unique(np.random.default_rng(1).integers(0, 1 << 19, 5000)) + (1 << 18)
+    counts[at] = np.arange(len(at)) % 255 + 1
+    back = np.zeros_like(counts)
+    rows = phrases.slot_rows(counts, {"en": 5}).to_pylist()
+    for x in rows[:-1]:
+        back[(x["row"] << phrases.ROW_BITS) + phrases.met_slots(x["at"])] = np.frombuffer(x["times"], np.uint8)
+    assert (back == counts).all() and rows[-1] == {"row": None, "at": None, "times": None, "lang": "en", "n": 5}
+
+
 def test_phrase_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
