@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import evaluate, monitor, names, sketches, vectors
+from orrery.plans import scale
 from orrery.streaming import state
 
 
@@ -214,3 +215,38 @@ def test_hashed_rows_of_one_key_count_together(spark):
     assert set(got) == {1, 2} and got[1] == got[2] and len(got[1]) == 64
     plan = vectors.hashed(rows, "id", F.col("w"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # no row a word
+
+
+def test_linked_files_leave_no_link_out(crowd, spark, monkeypatch):
+    """Every pair of rows of two files counts, copies too, whatever the blocks and what is held at once."""
+    v, df = crowd
+    cos = np.round(v @ v.T, 9)
+    files = df.select("id", F.when(F.col("id") < 1190, (F.col("id") % 7).cast("string")).alias("file"))
+    want = {}
+    for i in range(1190):
+        for j in np.flatnonzero(cos[i, :1190] >= 0.9).tolist():
+            if i % 7 < j % 7:
+                n, best = want.get((str(i % 7), str(j % 7)), (0, (9,)))
+                want[str(i % 7), str(j % 7)] = (n + 1, min(best, (-cos[i, j], i, j)))
+    assert len(want) == 21 and want["0", "1"][1][1:] == (49, 50)  # a copy in another file
+    for block, held in ((vectors.BLOCK, vectors.HELD), (300, 1 << 14)):
+        monkeypatch.setattr(vectors, "HELD", held)
+        got = vectors.linked_files(df, "id", "v", files.union(files.limit(50)), 0.9, block).collect()
+        assert {(r["file_a"], r["file_b"]): (r["links"], (-round(r["cos"], 9), r["a"], r["b"])) for r in got} == want and len(got) == 21
+    assert vectors.linked_files(df.limit(0), "id", "v", files, 0.9).count() == 0
+
+
+def test_linked_files_at_the_threshold(spark):
+    a, b, c = (np.array(x) / math.sqrt(10) for x in ((3, 1, 0), (3, 0, 1), (3, 0.9999, 0.0141418)))
+    df = spark.createDataFrame([("x", a.tolist()), ("y", b.tolist()), ("z", c.tolist())], "id string, v array<double>")
+    assert a @ b < 0.9 <= round(a @ b, 9)  # 0.9 but for rounding
+    got = vectors.linked_files(df, "id", "v", df.select("id", F.col("id").alias("file")), 0.9).collect()
+    assert {(r["file_a"], r["file_b"], r["links"], r["a"], r["b"]) for r in got} == {("x", "y", 1, "x", "y"), ("x", "z", 1, "x", "z"), ("y", "z", 1, "y", "z")}
+
+
+def test_similar_files_see_copies_in_other_sources(spark, tmp_path):
+    one, two = "alpha beta gamma delta " * 5, "alpha beta gamma delta " * 5 + "epsilon"
+    rows = [(1, one, "a"), (2, one, "b"), (3, two, "c"), (4, one, "b"), (5, "quite other words", "d"), (6, "", "a"), (7, None, "b"), (8, one, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["file_a"], r["file_b"]): (r["links"], r["a"], r["b"]) for r in scale.similar_files(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (2, 1, 2), ("a", "c"): (1, 1, 3), ("b", "c"): (2, 2, 3)}
